@@ -28,6 +28,8 @@ from .common import NULL_ID, U, Sender, buckets_for, by_key, connected, discard,
 ORDERS = (0, 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
 #: Most tokens that the orders put last one by one; 16 bytes each when sent to executors. Any choice gives the same links.
 COMMON = 1 << 20
+#: Bits of a set's parities; they turn away pairs that surely differ in too many tokens before texts are moved.
+BITS = 2048
 #: Centres that a group's nodes are compared with, round by round.
 CENTRES = (1, 4, 8)
 
@@ -65,20 +67,44 @@ def _token_key(tokens: np.ndarray, n: int) -> np.ndarray:
     return (tokens % U(n)) << U(32) | tokens >> U(32)
 
 
-def prefix(tokens: np.ndarray, order: int, common: np.ndarray, rank: np.ndarray, n: int, percent: int) -> np.ndarray:
+class Common:
+    """The tokens of many documents, by key, with their levels; a bitmap turns most other tokens away at once."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.level = keys[by], level[by].astype(np.int64)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(mix(self.keys) >> U(42)).astype(np.int64)] = True
+
+    def late(self, tokens: np.ndarray, n: int) -> np.ndarray:
+        """How far back each token comes in all orders: its level, 0 for a token that is not common."""
+        out = np.zeros(len(tokens), np.int64)
+        if len(self.keys):
+            key = _token_key(tokens, n)
+            may = np.flatnonzero(self.bits[(mix(key) >> U(42)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
+            out[may] = np.where(self.keys[at] == key[may], self.level[at], 0)
+        return out
+
+
+def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int) -> np.ndarray:
     """The tokens that come first under an order, as many as a set of that Jaccard must share one of."""
     keep = len(tokens) - -(-percent * len(tokens) // 100) + 1
     if not len(tokens):
         return tokens
-    late = np.zeros(len(tokens), np.int64)
-    if len(common):
-        key = _token_key(tokens, n)
-        at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-        late = np.where(common[at] == key, rank[at], 0)
+    rare = tokens[late == 0]
+    if len(rare) >= keep:
+        return rare[:keep] if not order else rare[np.argpartition(mix(rare ^ U(order)), keep - 1)[:keep]]
     by = mix(tokens ^ U(order)) if order else tokens
     return tokens[np.lexsort((by, late))[:keep]]
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """BITS parities of hashed tokens as 64-bit words: two sets differ in at least as many tokens as their words in bits."""
+    count = np.bincount((mix(tokens ^ U(0x3C6EF372FE94F82B)) & U(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
     send = Sender(["u4"], 4 << 20)
     for b in batches:
@@ -117,7 +143,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    common, rank = order.value
+    common = order.value
     send = Sender(["u8", "i8", "u4"])
     seen: set[int] = set()  # nodes of what is being gathered: copies in a task count once
     for b in batches:
@@ -128,7 +154,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int
                 if not len(tokens) or node in seen:
                     continue
                 seen.add(node)
-                first = prefix(tokens, ORDERS[0], common, rank, n, percent)
+                first = prefix(tokens, ORDERS[0], common.late(tokens, n), percent)
                 send.add((first % U(n)).astype(np.int32), first, np.full(len(first), node), np.full(len(first), len(tokens)))
             if send.full():
                 seen.clear()
@@ -150,9 +176,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(node[many]), pa.array(num[many].astype(np.int64))], names=["token", "node", "n"])
 
 
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        buf, starts = flat(b.column(1))
+        bits = [parity(t) for i, j in pieces(starts) for t in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that link: they share prefix tokens under every other order, and then 100 |a & b| >= percent |a | b|."""
-    common, rank = order.value
+    common = order.value
     known: dict[int, tuple] = {}
     for b in batches:
         at = [b.column("a").to_pylist(), b.column("b").to_pylist()]
@@ -167,7 +200,8 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int,
             done = 0
             for i, j in pieces(starts):
                 for tokens in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
-                    known[own[done][0]] = (tokens, [np.sort(prefix(tokens, o, common, rank, n, percent)) for o in ORDERS[1:]])
+                    late = common.late(tokens, n)
+                    known[own[done][0]] = (tokens, [np.sort(prefix(tokens, o, late, percent)) for o in ORDERS[1:]])
                     done += 1
         ok = []
         for x, y in zip(*at, strict=True):
@@ -208,14 +242,13 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
         have, least = have + r["count"], r["level"]
     top = counted.where(F.floor(4 * F.log2("docs")) >= F.lit(least)).select("key", F.floor(4 * F.log2("docs")).alias("level")).toArrow()
     keys, level = top.column("key").to_numpy().view(np.uint64), top.column("level").to_numpy()
-    by = np.argsort(keys)
-    order = spark.sparkContext.broadcast((keys[by], level[by]))
+    order = spark.sparkContext.broadcast(Common(keys, level))
     discard(counted)
 
     found = base.select("text").mapInArrow(partial(_prefixes, size=size, n=n, percent=percent, order=order), "bucket int, blob binary")
     groups = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, node long, n long"))
     wanted = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    texts = stored(base.select("row_key", "text").join(wanted, "row_key").select("node", "text"))
+    texts = stored(base.select("row_key", "text").join(wanted, "row_key").select("node", "text").mapInArrow(partial(_texts, size=size), "node long, text string, bits array<long>"))
     label = _merge(groups, texts, partial(_verify, size=size, n=n, percent=percent, order=order), percent)
     for t in (groups, texts):
         discard(t)
@@ -243,13 +276,18 @@ def _merge(groups: DataFrame, texts: DataFrame, verify, percent: int) -> DataFra
             share = open_.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
             rest = open_.join(share, "token").where("label <> largest").select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), "largest")
             pairs = open_.join(rest, "token").where((F.col("label") != F.col("to")) & ((F.col("label") == F.col("largest")) | (F.col("node") < F.col("b"))) & lengths)
-        pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
+        pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.first("n").alias("n"), F.first("m").alias("m"))
+        # exact: of n and m tokens, at least percent / (100 + percent) of both together are common, so 2 * that many differ at most
+        bits_a, bits_b = (texts.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+        differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (s, x) -> s + x)")
+        pairs = stored(pairs.join(bits_a, "a").join(bits_b, "b").where(differ * (100 + percent) <= F.col("n") * (100 - percent) + F.col("m") * (100 - percent)).select("a", "b"), tidy=False)
+        tested = pairs
         pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         links = stored(pairs.sortWithinPartitions("b").mapInArrow(verify, "a long, b long"))
         left, right = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         joined = connected(links.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         new = stored(label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label")), tidy=False)
-        for t in (open_, links, joined, label):
+        for t in (open_, tested, links, joined, label):
             discard(t)
         label = new
     return label
