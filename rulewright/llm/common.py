@@ -203,6 +203,18 @@ def received(blobs: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def packed(raw: bytes) -> bytes:
+    """raw, compressed, behind its length."""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def unpacked(blob: bytes) -> bytes:
+    return _ZSTD.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Consecutive rows with one key, of batches sorted by it, as slices; for groups of bounded size."""
     now, held = None, []

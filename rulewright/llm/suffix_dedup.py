@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U, Sender, buckets_for, by_key, discard, flat, ids, mix, pieces, received, stored
+from .common import NULL_ID, U, Sender, buckets_for, by_key, discard, flat, ids, mix, packed, pieces, received, stored, unpacked
 
 _B = 0x2545F4914F6CDD1D | 1
 #: Documents of one smallest hash from which on its windows are dealt out singly.
@@ -80,14 +80,14 @@ def windows(buf: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _scan(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
-    send = Sender(["u8", "i8"])
+    send = Sender(["u4", "i8"])
     for b in batches:
         doc = ids(b.column(0))
         buf, starts = flat(b.column(1))
         for i, j in pieces(starts):
             row, _, _, h = windows(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
             pair = _unique_pairs(h, row)
-            send.add((pair[0] % U(n)).astype(np.int32), pair[0], doc[i:j][pair[1]])
+            send.add((pair[0] % U(n)).astype(np.int32), pair[0] >> U(32), doc[i:j][pair[1]])
             if send.full():
                 yield _blobs(send.rows())
     yield _blobs(send.rows())
@@ -103,14 +103,18 @@ def _unique_pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _blobs(rows, kind: int = 0) -> pa.RecordBatch:
     rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([packed(r[1]) for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], n: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the (document, hash) pairs whose hash two documents have; one bit tells that very many have it."""
+    """Of each bucket, the (document, hash) pairs whose hash two documents have; one bit tells that very many have it.
+
+    A bucket's number and 32 bits stand for a hash: buckets are of bounded size, and a chance match only adds to what is sorted.
+    """
     send = Sender(["i8", "u8", "u1"])
-    for _, group in by_key(batches, "bucket"):
-        h, doc = received([x for g in group for x in g.column("blob").to_pylist()], ["u8", "i8"])
+    for bucket, group in by_key(batches, "bucket"):
+        h, doc = received([unpacked(x) for g in group for x in g.column("blob").to_pylist()], ["u4", "i8"])
+        doc = doc.copy()
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -118,7 +122,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], n: int, hot: int) -> Iterator[p
         size = np.diff(np.append(cut, len(h)))
         two = np.repeat(low < high, size)
         big = np.repeat((size > hot).astype(np.uint8), size)
-        h, doc, big = h[two], doc[two], big[two]
+        h, doc, big = h[two].astype(np.uint64) << U(32) | U(bucket), doc[two], big[two]
         send.add(_bucket(doc, n), doc, h, big)
         if send.full():
             yield _blobs(send.rows())
@@ -134,7 +138,7 @@ def _keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     for b in batches:
         doc = ids(b.column(0))
         key = b.column(2)
-        yield pa.RecordBatch.from_arrays([pa.array(_bucket(doc, n)), pa.array(np.ones(len(doc), np.int32)), pa.array([None] * len(doc), pa.binary()), b.column(0), b.column(1), key], names=["bucket", "kind", "blob", "doc_id", "text", "row_key"])
+        yield pa.RecordBatch.from_arrays([pa.array(_bucket(doc, n)), pa.array(np.ones(len(doc), np.int32)), pa.array([packed(x.as_buffer().to_pybytes()) for x in b.column(1).cast(pa.binary())], pa.binary()), b.column(0), key], names=["bucket", "kind", "blob", "doc_id", "row_key"])
 
 
 def _with_blobs(batches: Iterator[pa.RecordBatch], kinds: list[str]):
@@ -149,24 +153,27 @@ def _with_blobs(batches: Iterator[pa.RecordBatch], kinds: list[str]):
             blobs += g.column("blob").slice(0, cut).to_pylist()
             if cut < len(kind):
                 if have is None:
-                    have = received(blobs, kinds)
+                    have = received([unpacked(x) for x in blobs], kinds)
                     order = np.argsort(have[0], kind="stable")
                     have, blobs = [x[order] for x in have], []
-                yield g.slice(cut), have
+                rest = g.slice(cut)
+                text = pa.array([unpacked(x) for x in rest.column("blob").to_pylist()], pa.binary())
+                yield rest.append_column("text", text), have
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
     """Stretches of text whose windows share a repeated hash: (doc, row key, start, length) and bytes, equal ones of a task once."""
-    held: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
+    held: dict[int, dict[bytes, tuple[int, list]]] = {}
     count = 0
 
     def out():
         rows = []
         for bucket, texts in held.items():
             sizes = np.array([len(t) for t in texts], "u4")
-            members = np.array([len(m) for m in texts.values()], "u4")
-            flatm = np.array([x for m in texts.values() for x in m], "i8").reshape(-1, 3)
-            rows.append((bucket, np.array([len(sizes)], "u4").tobytes() + sizes.tobytes() + members.tobytes() + flatm.tobytes() + b"".join(texts)))
+            keys = np.array([k for k, _ in texts.values()], "u4")
+            members = np.array([len(m) // 3 for _, m in texts.values()], "u4")
+            flatm = np.array([x for _, m in texts.values() for x in m], "i8")
+            rows.append((bucket, np.array([len(sizes)], "u4").tobytes() + sizes.tobytes() + members.tobytes() + keys.tobytes() + flatm.tobytes() + b"".join(texts)))
         held.clear()
         return _blobs(rows)
 
@@ -184,17 +191,20 @@ def _stretches(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator
                     continue
                 own = slice(*np.searchsorted(row, [r - i, r - i + 1]))
                 known = np.sort(h[a:z])
-                pos = np.minimum(np.searchsorted(known, mh[own]), len(known) - 1)
-                wide = np.unique(h[a:z][big[a:z] > 0])
+                short = mh[own] >> U(32) << U(32) | mh[own] % U(n)
+                pos = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                found = np.flatnonzero(known[pos] == short)
+                wide = set(h[a:z][big[a:z] > 0].tolist())
                 base, d, k = int(starts[r] - starts[i]), int(doc[r]), int(key[r])
-                for s, c, v in zip(at[own][known[pos] == mh[own]].tolist(), num[own][known[pos] == mh[own]].tolist(), mh[own][known[pos] == mh[own]].tolist(), strict=True):
-                    if len(wide) and v in wide:
+                for s, c, v in zip(at[own][found].tolist(), num[own][found].tolist(), short[found].tolist(), strict=True):
+                    if wide and v in wide:
                         for x in range(s, s + c):
                             t = raw[base + x : base + x + size]
-                            held.setdefault(int.from_bytes(hashlib.blake2b(t, digest_size=7).digest(), "little") % n, {}).setdefault(t, []).append((d, k, x))
+                            deal = int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little")
+                            held.setdefault(deal % n, {}).setdefault(t, (deal >> 32, []))[1].extend((d, k, x))
                         count += c
                     else:
-                        held.setdefault(v % n, {}).setdefault(raw[base + s : base + s + c + size - 1], []).append((d, k, s))
+                        held.setdefault(v & 0xFFFFFFFF, {}).setdefault(raw[base + s : base + s + c + size - 1], (v >> 32, []))[1].extend((d, k, s))
                         count += 1
             if count > 150_000:
                 yield out()
@@ -299,20 +309,29 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[
     send = Sender(["i8", "i8", "i8", "i8"])
     for _, group in by_key(batches, "bucket"):
         texts: dict[bytes, list[np.ndarray]] = {}
-        for blob in (x for g in group for x in g.column("blob").to_pylist()):
+        share: list[int] = []  # what each distinct stretch shares with those that could have a window in common with it
+        for blob in (unpacked(x) for g in group for x in g.column("blob").to_pylist()):
             count = int(np.frombuffer(blob, "u4", 1)[0])
-            sizes = np.frombuffer(blob, "u4", count, 4)
-            members = np.frombuffer(blob, "u4", count, 4 + 4 * count)
-            flatm = np.frombuffer(blob, "i8", 3 * int(members.sum()), 4 + 8 * count).reshape(-1, 3)
-            at, m = 4 + 8 * count + flatm.nbytes, 0
-            for s, c in zip(sizes.tolist(), members.tolist(), strict=True):
-                texts.setdefault(blob[at : at + s], []).append(flatm[m : m + c])
+            sizes, members, keys = np.frombuffer(blob, "u4", 3 * count, 4).reshape(3, count)
+            flatm = np.frombuffer(blob, "i8", 3 * int(members.sum()), 4 + 12 * count).reshape(-1, 3)
+            at, m = 4 + 12 * count + flatm.nbytes, 0
+            for s, c, k in zip(sizes.tolist(), members.tolist(), keys.tolist(), strict=True):
+                own = texts.setdefault(blob[at : at + s], [])
+                if not own:
+                    share.append(k)
+                own.append(flatm[m : m + c])
                 at, m = at + s, m + c
         member = [np.concatenate(m) if len(m) > 1 else m[0] for m in texts.values()]
-        lowest = np.array([m[:, 0].min() for m in member])
-        lengths = np.array([len(t) for t in texts])
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        hit = repeats(np.frombuffer(b"".join(texts), np.uint8), begin, lowest, size)
+        lowest = np.array([m[:, 0].min() for m in member], np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begin = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        # a stretch that shares its hash with no other one has no window of another: only the rest is sorted
+        _, which, sharing = np.unique(np.array(share, np.int64), return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(sharing[which] > 1)
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        part = np.concatenate([np.arange(begin[u], begin[u + 1]) for u in mixed]) if len(mixed) else np.zeros(0, np.int64)
+        hit = np.zeros(len(whole), bool)
+        hit[part] = repeats(whole[part], np.concatenate([[0], np.cumsum(lengths[mixed])]), lowest[mixed], size)
         flags = np.concatenate([[0], np.cumsum(hit)])
         for u, m in enumerate(member):
             later = m[m[:, 0] > lowest[u]]
@@ -390,7 +409,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", t
     keyed = base.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "text").alias("row_key"))
     n = buckets_for(docs)
     blobs = "bucket int, kind int, blob binary"
-    rows = "doc_id long, text string, row_key long"
+    rows = "doc_id long, row_key long"
     first = base.mapInArrow(partial(_scan, size=min_bytes, n=n), blobs)
     pairs = stored(_met(first).mapInArrow(partial(_repeated, n=n, hot=hot), blobs))
     with_bucket = keyed.mapInArrow(partial(_keyed, n=n), f"{blobs}, {rows}")
