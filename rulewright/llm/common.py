@@ -65,8 +65,11 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def buckets_for(df: DataFrame, factor: float = 3.0, target: int = 4 << 20) -> int:
-    """Number of buckets that keeps each near target bytes, from the input's size; never under 8 for each shuffle partition."""
-    at_least = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Number of buckets that keeps each near target bytes, from the input's size; never under one for each shuffle partition.
+
+    No more than that: a task sends a blob to each bucket, so blobs would else grow with tasks times buckets.
+    """
+    at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return int(min(1 << 24, max(at_least, plan_bytes(df) * factor // target)))
 
 
