@@ -78,8 +78,8 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) ->
     at, t = w, 1.0
     step = 1 / (1 / cost + 2 * 2.0)  # rows have length sqrt(2) at most
     for _ in range(rounds):
-        margin = np.maximum(0, 1 - y * (x @ at))
-        grad = at / cost - 2 * x.T @ (share * y * margin)
+        margin = np.maximum(0, 1 - y * (x @ at.astype(x.dtype)))  # one copy of x is all that is held
+        grad = at / cost - 2 * ((share * y * margin).astype(x.dtype) @ x)
         new = at - step * grad
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         at, w, t = new + (t - 1) / u * (new - w), new, u
@@ -141,7 +141,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
-def train(labelled: DataFrame, per_language: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(labelled: DataFrame, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from (id, text, lang) rows; those of null lang are left out. Of each language the rows whose hashed ids are
     smallest are taken, at most ``per_language``, so that the sample does not depend on the order or number of partitions."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null")
