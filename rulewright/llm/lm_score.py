@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, flat, mix, pieces, stored, word_hashes
+from .common import U, flat, mix, pieces, word_hashes
 
 SIDE = 2  # tokens on either side
 DIM = 24
@@ -78,57 +78,73 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def forward(w: Weights, tokens: np.ndarray, around: np.ndarray):
+def by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts tokens of one class together, and where each class starts in it."""
+    cls = (tokens // WITHIN).astype(np.int16)  # short numbers sort by counting
+    order = np.argsort(cls, kind="stable")
+    return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
+
+
+def forward(w: Weights, tokens: np.ndarray, around: np.ndarray, cut: np.ndarray):
+    """Hidden layer and both levels of probabilities of tokens that stand by class."""
     parts = [w.embed[around[:, k]] for k in range(2 * SIDE)]
-    hidden = np.tanh(sum(p @ w.mix[k] for k, p in enumerate(parts)) + w.bias)
-    cls, own = tokens // WITHIN, tokens % WITHIN
+    hidden = parts[0] @ w.mix[0]
+    for k in range(1, 2 * SIDE):
+        hidden += parts[k] @ w.mix[k]
+    hidden += w.bias
+    np.tanh(hidden, out=hidden)
     p_top = _softmax(hidden @ w.top + w.top_bias)
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    p_low = np.empty((len(tokens), WITHIN), np.float32)
+    low = np.empty((len(tokens), WITHIN), np.float32)
     for c in range(CLASSES):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
-            p_low[rows] = _softmax(hidden[rows] @ w.low[c] + w.low_bias[c])
-    return parts, hidden, cls, own, p_top, p_low, order, cut
+        rows = slice(cut[c], cut[c + 1])
+        if cut[c] < cut[c + 1]:
+            np.matmul(hidden[rows], w.low[c], out=low[rows])
+            low[rows] += w.low_bias[c]
+    return parts, hidden, p_top, _softmax(low)
 
 
 def log_probs(w: Weights, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Log-probability of every token given the tokens around it."""
     out = np.empty(len(tokens))
     around = contexts(tokens, starts)
-    for a in range(0, len(tokens), 8 * STEP_TOKENS):
-        t = tokens[a : a + 8 * STEP_TOKENS]
-        _, _, cls, own, p_top, p_low, _, _ = forward(w, t, around[a : a + len(t)])
-        i = np.arange(len(t))
-        out[a : a + len(t)] = np.log(np.maximum(p_top[i, cls] * p_low[i, own], 1e-30))
+    for a in range(0, len(tokens), 2 * STEP_TOKENS):
+        t = tokens[a : a + 2 * STEP_TOKENS]
+        order, cut = by_class(t)
+        t, i = t[order], np.arange(len(t))
+        _, _, p_top, p_low = forward(w, t, around[a : a + len(t)][order], cut)
+        out[a + order] = np.log(np.maximum(p_top[i, t // WITHIN] * p_low[i, t % WITHIN], 1e-30))
     return out
 
 
 def train_step(w: Weights, memory: np.ndarray, tokens: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One step with per-parameter rates (squared gradients summed in memory), in place."""
     n = len(tokens)
-    parts, hidden, cls, own, p_top, p_low, order, cut = forward(w, tokens, around)
+    order, cut = by_class(tokens)
+    tokens, around = tokens[order], around[order]
+    parts, hidden, p_top, p_low = forward(w, tokens, around, cut)
     g = Weights(np.zeros_like(w.flat))
     i = np.arange(n)
-    p_top[i, cls] -= 1
-    p_low[i, own] -= 1
+    p_top[i, tokens // WITHIN] -= 1
+    p_low[i, tokens % WITHIN] -= 1
     back = p_top @ w.top.T
     g.top[:] = hidden.T @ p_top
     g.top_bias[:] = p_top.sum(0)
     for c in range(CLASSES):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
+        rows = slice(cut[c], cut[c + 1])
+        if cut[c] < cut[c + 1]:
             g.low[c] = hidden[rows].T @ p_low[rows]
             g.low_bias[c] = p_low[rows].sum(0)
             back[rows] += p_low[rows] @ w.low[c].T
     back *= 1 - hidden * hidden
     g.bias[:] = back.sum(0)
+    seen = np.concatenate([around[:, k] for k in range(2 * SIDE)]).astype(np.int16)
+    moved = np.concatenate([back @ w.mix[k].T for k in range(2 * SIDE)])
     for k, p in enumerate(parts):
         g.mix[k] = p.T @ back
-        d = back @ w.mix[k].T
-        for col in range(DIM):
-            g.embed[:, col] += np.bincount(around[:, k], d[:, col], VOCABULARY + 1).astype(np.float32)
+    by = np.argsort(seen, kind="stable")
+    seen = seen[by]
+    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+    g.embed[seen[first]] = np.add.reduceat(moved[by], first, axis=0)
     g.flat /= n
     memory += g.flat * g.flat
     w.flat -= rate * g.flat / (np.sqrt(memory) + 1e-6)

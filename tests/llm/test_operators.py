@@ -137,7 +137,8 @@ def test_lm_score(docs):
     assert got[0].n_tokens == 0 and got[0].mean_log_prob is None and got[6].n_tokens == 3000 and got[6].log_likelihood < 0
     w = lm_score.Weights()
     tokens = np.random.default_rng(0).integers(0, lm_score.VOCABULARY, 50)
-    _, _, _, _, p_top, p_low, _, _ = lm_score.forward(w, tokens, lm_score.contexts(tokens, np.array([0, 20, 50])))
+    order, cut = lm_score.by_class(tokens)
+    _, _, p_top, p_low = lm_score.forward(w, tokens[order], lm_score.contexts(tokens, np.array([0, 20, 50]))[order], cut)
     assert np.allclose(p_top.sum(1), 1, atol=1e-4) and np.allclose(p_low.sum(1), 1, atol=1e-4)
     memory, before = np.full_like(w.flat, 1e-4), lm_score.log_probs(w, tokens, np.array([0, 20, 50])).mean()
     around = lm_score.contexts(tokens, np.array([0, 20, 50]))
