@@ -164,6 +164,12 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = True) -> tupl
     return h, np.diff(np.searchsorted(begin, starts))
 
 
+def places(keys: np.ndarray) -> np.ndarray:
+    """The place of each entry among the equal ones before it, of sorted keys."""
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return np.arange(len(keys)) - np.repeat(cut, np.diff(np.append(cut, len(keys))))
+
+
 class Sender:
     """Gathers equal-length arrays with a bucket for each entry, and yields (bucket, blob) rows of them.
 

@@ -18,10 +18,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Sender, buckets_for, by_key, discard, flat, ids, mix, pieces, received, stored
+from .common import FLUSH, NULL_ID, Sender, buckets_for, by_key, discard, mix, places, received, stored
 
 #: Fields that vary from line to line.
 VARIABLE = re.compile(r"^\W*(?:[a-z]+://\S+|\S+@\S+\.\S+|0x[0-9a-f]+|[0-9a-f]{8}-[0-9a-f-]{27,}|\S*\d\S*)\W*$", re.IGNORECASE)
@@ -77,16 +78,42 @@ def _blobs(rows, kind: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], depth: int, n: int) -> Iterator[pa.RecordBatch]:
-    send = Sender(["u8", "i8"])
+def _scan(batches: Iterator[pa.RecordBatch], depth: int, n: int, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """(leaf, row key) by bucket of the leaf, min_docs of each leaf a flush: so many show that it recurs, and what else the
+    flush has of it (kind 1) goes by bucket of the row key at once. So no leaf gathers its documents in one task."""
+    few, rest = Sender(["u8", "i8"]), Sender(["i8", "u8"])
+    held: list[tuple[np.ndarray, int]] = []
+    size = 0
     for b in batches:
-        doc, key = ids(b.column(0)), b.column(2).to_numpy()
-        for d, k, text in zip(doc.tolist(), key.tolist(), b.column(1).to_pylist(), strict=True):
-            own = np.array(sorted(leaf_hashes(text, depth)), np.uint64)
-            send.add((own % np.uint64(n)).astype(np.int32), own, np.full(len(own), k))
-            if send.full():
-                yield _blobs(send.rows())
-    yield _blobs(send.rows())
+        key = b.column(2).to_pylist()
+        for k, text in zip(key, b.column(1).to_pylist(), strict=True):
+            own = np.fromiter(leaf_hashes(text, depth), np.uint64)
+            held.append((own, k))
+            size += len(own)
+            if size >= FLUSH:
+                yield from _sent(held, few, rest, n, min_docs)
+                held, size = [], 0
+    yield from _sent(held, few, rest, n, min_docs)
+
+
+def _sent(held: list[tuple[np.ndarray, int]], few: Sender, rest: Sender, n: int, min_docs: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    leaf, key = _distinct(np.concatenate([x for x, _ in held]), np.repeat(np.array([k for _, k in held], np.int64), [len(x) for x, _ in held]))
+    shown = places(leaf) >= min_docs
+    few.add((leaf[~shown] % np.uint64(n)).astype(np.int32), leaf[~shown], key[~shown])
+    rest.add(_doc_bucket(key[shown], n), key[shown], leaf[shown])
+    yield _blobs(few.rows())
+    yield _blobs(rest.rows(), 1)
+
+
+def _distinct(leaf: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, sorted."""
+    order = np.lexsort((key, leaf))
+    leaf, key = leaf[order], key[order]
+    once = np.ones(len(leaf), bool)
+    once[1:] = (leaf[1:] != leaf[:-1]) | (key[1:] != key[:-1])
+    return leaf[once], key[once]
 
 
 def _doc_bucket(key: np.ndarray, n: int) -> np.ndarray:
@@ -96,13 +123,11 @@ def _doc_bucket(key: np.ndarray, n: int) -> np.ndarray:
 def _recurring(batches: Iterator[pa.RecordBatch], n: int, min_docs: int) -> Iterator[pa.RecordBatch]:
     """(row key, leaf) of leaves that enough documents have, by bucket of the row key."""
     send = Sender(["i8", "u8"])
-    for _, group in by_key(batches, "bucket"):
-        leaf, key = received([x for g in group for x in g.column("blob").to_pylist()], ["u8", "i8"])
-        order = np.lexsort((key, leaf))
-        leaf, key = leaf[order], key[order]
-        once = np.ones(len(leaf), bool)
-        once[1:] = (leaf[1:] != leaf[:-1]) | (key[1:] != key[:-1])
-        leaf, key = leaf[once], key[once]
+    for bucket, group in by_key(batches, "bucket"):
+        few, rest = ([x for g in group for x in g.column("blob").filter(pc.equal(g.column("kind"), kind)).to_pylist()] for kind in (0, 1))
+        if rest:
+            yield _blobs((bucket, x) for x in rest)
+        leaf, key = _distinct(*received(few, ["u8", "i8"]))
         _, at, count = np.unique(leaf, return_inverse=True, return_counts=True)
         many = count[at] >= min_docs
         send.add(_doc_bucket(key[many], n), key[many], leaf[many])
@@ -149,7 +174,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     """
     base = _base(docs, id_col, text_col)
     n = buckets_for(docs)
-    found = base.mapInArrow(partial(_scan, depth=depth, n=n), "bucket int, kind int, blob binary")
+    found = base.mapInArrow(partial(_scan, depth=depth, n=n, min_docs=min_docs), "bucket int, kind int, blob binary")
     many = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_recurring, n=n, min_docs=min_docs), "bucket int, kind int, blob binary"))
     keyed = base.mapInArrow(partial(_with_bucket, n=n), "bucket int, kind int, blob binary, doc_id long, text string, row_key long")
     met = keyed.unionByName(many, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
