@@ -197,9 +197,10 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     # one row for each template and document before templates are counted: a hot template is summed up in its tasks
     by_doc = placed.groupBy("template", "row_key").agg(first)
     recur = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
+    recur = stored(recur, tidy=False)  # so that both sides of the join are exchanged for it alone, and a hot template can be split
     gone = placed.join(recur, "template").where((F.col("row_key") != F.col("first.row_key")) | (F.col("line") != F.col("first.line")))
     out = stored(gone.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("lines")), tidy=False)
-    for t in (lines, same, named, placed):
+    for t in (lines, same, named, placed, recur):
         discard(t)
     return out
 
