@@ -19,10 +19,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U, Sender, buckets_for, by_key, connected, discard, flat, ids, mix, pieces, received, stored, word_hashes
+from .common import FLUSH, NULL_ID, U, Sender, buckets_for, by_key, connected, discard, flat, mix, pieces, places, received, stored, word_hashes
 
 #: Numbers that make the token orders differ: fixed values.
 ORDERS = (0, 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
@@ -106,26 +107,45 @@ def parity(tokens: np.ndarray) -> list[int]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
-    send = Sender(["u4"], 4 << 20)
+    """Tokens by bucket: alone if a flush has them once (kind 0), else with their count (kind 1)."""
+    once, more = Sender(["u4"]), Sender(["u4", "u4"])
+    held: list[np.ndarray] = []
     for b in batches:
         buf, starts = flat(b.column(0))
         for i, j in pieces(starts):
-            for tokens in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
-                send.add((tokens % U(n)).astype(np.int32), (tokens >> U(32)).astype(np.uint32))
-            if send.full():
-                yield _blobs(send.rows())
-    yield _blobs(send.rows())
+            held += shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
+            if sum(map(len, held)) >= 4 * FLUSH:
+                yield from _counted(held, once, more, n)
+                held = []
+    yield from _counted(held, once, more, n)
+
 
+def _counted(held: list[np.ndarray], once: Sender, more: Sender, n: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    key, count = np.unique(_token_key(np.concatenate(held), n), return_counts=True)
+    bucket, token, one = (key >> U(32)).astype(np.int32), key.astype(np.uint32), count == 1
+    once.add(bucket[one], token[one])
+    more.add(bucket[~one], token[~one], count[~one])
+    yield _blobs(once.rows())
+    yield _blobs(more.rows(), 1)
 
-def _blobs(rows) -> pa.RecordBatch:
+
+def _blobs(rows, kind: int = 0) -> pa.RecordBatch:
     rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def _by_kind(group: list[pa.RecordBatch]) -> list[list[bytes]]:
+    return [[x for g in group for x in g.column("blob").filter(pc.equal(g.column("kind"), kind)).to_pylist()] for kind in (0, 1)]
 
 
 def _common(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for bucket, group in by_key(batches, "bucket"):
-        (t,) = received([x for g in group for x in g.column("blob").to_pylist()], ["u4"])
-        values, count = np.unique(t, return_counts=True)
+        once, more = _by_kind(group)
+        (t,), (u, number) = received(once, ["u4"]), received(more, ["u4", "u4"])
+        values, at = np.unique(np.concatenate([t, u]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([np.ones(len(t)), number]), len(values)).astype(np.int64)
         big = count >= least
         key = U(bucket) << U(32) | values[big].astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count[big])], names=["key", "docs"])
@@ -143,9 +163,13 @@ def _nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
+    """(token, node, size) by bucket of the token, two nodes of each token a flush: they show that it has several. What else
+    the flush has of it (kind 1) goes by token and node, so that no token gathers its nodes in one task."""
     common = order.value
-    send = Sender(["u8", "i8", "u4"])
+    few, rest = Sender(["u8", "i8", "u4"]), Sender(["u8", "i8", "u4"])
+    held: list[tuple[np.ndarray, int, int]] = []
     seen: set[int] = set()  # nodes of what is being gathered: copies in a task count once
+    total = 0
     for b in batches:
         buf, starts = flat(b.column(0))
         for i, j in pieces(starts):
@@ -154,26 +178,43 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int
                 if not len(tokens) or node in seen:
                     continue
                 seen.add(node)
-                first = prefix(tokens, ORDERS[0], common.late(tokens, n), percent)
-                send.add((first % U(n)).astype(np.int32), first, np.full(len(first), node), np.full(len(first), len(tokens)))
-            if send.full():
+                held.append((prefix(tokens, ORDERS[0], common.late(tokens, n), percent), node, len(tokens)))
+                total += len(held[-1][0])
+            if total >= FLUSH:
+                yield from _sent(held, few, rest, n)
+                held, total = [], 0
                 seen.clear()
-                yield _blobs(send.rows())
-    yield _blobs(send.rows())
+    yield from _sent(held, few, rest, n)
+
+
+def _sent(held: list[tuple[np.ndarray, int, int]], few: Sender, rest: Sender, n: int) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    first, nodes, sizes = zip(*held, strict=True)
+    each = [len(x) for x in first]
+    token, node, num = np.concatenate(first), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int64), each)
+    by = np.argsort(token, kind="stable")
+    token, node, num = token[by], node[by], num[by]
+    shown = places(token) > 1
+    few.add((token[~shown] % U(n)).astype(np.int32), token[~shown], node[~shown], num[~shown])
+    rest.add((mix(token[shown] ^ mix(node[shown].view(np.uint64))) % U(n)).astype(np.int32), token[shown], node[shown], num[shown])
+    yield _blobs(few.rows())
+    yield _blobs(rest.rows(), 1)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket, the (token, node, size) rows of tokens that several nodes have in their prefixes."""
     for _, group in by_key(batches, "bucket"):
-        token, node, num = received([x for g in group for x in g.column("blob").to_pylist()], ["u8", "i8", "u4"])
-        order = np.lexsort((node, token))
-        token, node, num = token[order], node[order], num[order]
-        once = np.ones(len(token), bool)
-        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, num = token[once], node[once], num[once]
-        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        many = np.repeat(np.diff(np.append(cut, len(token))) > 1, np.diff(np.append(cut, len(token))))
-        yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(node[many]), pa.array(num[many].astype(np.int64))], names=["token", "node", "n"])
+        for kind, blobs in enumerate(_by_kind(group)):
+            token, node, num = received(blobs, ["u8", "i8", "u4"])
+            order = np.lexsort((node, token))
+            token, node, num = token[order], node[order], num[order]
+            once = np.ones(len(token), bool)
+            once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, node, num = token[once], node[once], num[once]
+            _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+            many = (count[at] > 1) | bool(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(node[many]), pa.array(num[many].astype(np.int64))], names=["token", "node", "n"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -232,7 +273,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     n = buckets_for(docs)
     rows = stored(base.mapInArrow(partial(_nodes, size=size), "doc_id long, row_key long, node long, n long"))
 
-    counted = base.select("text").mapInArrow(partial(_counts, size=size, n=n), "bucket int, blob binary")
+    counted = base.select("text").mapInArrow(partial(_counts, size=size, n=n), "bucket int, kind int, blob binary")
     counted = stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_common, least=4), "key long, docs long"))
     levels = counted.groupBy(F.floor(4 * F.log2("docs")).alias("level")).count().orderBy(F.desc("level")).collect()  # some 200 rows at most
     least, have = 1 << 62, 0
@@ -245,7 +286,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     order = spark.sparkContext.broadcast(Common(keys, level))
     discard(counted)
 
-    found = base.select("text").mapInArrow(partial(_prefixes, size=size, n=n, percent=percent, order=order), "bucket int, blob binary")
+    found = base.select("text").mapInArrow(partial(_prefixes, size=size, n=n, percent=percent, order=order), "bucket int, kind int, blob binary")
     groups = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, node long, n long"))
     wanted = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     texts = stored(base.select("row_key", "text").join(wanted, "row_key").select("node", "text").mapInArrow(partial(_texts, size=size), "node long, text string, bits array<long>"))
