@@ -72,9 +72,10 @@ def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """In place. Bounds on z stand for its greatest value, which would be a slow pass: within them no sum overflows."""
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -86,11 +87,9 @@ def by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(w: Weights, tokens: np.ndarray, around: np.ndarray, cut: np.ndarray):
-    """Hidden layer and both levels of probabilities of tokens that stand by class."""
-    parts = [w.embed[around[:, k]] for k in range(2 * SIDE)]
-    hidden = parts[0] @ w.mix[0]
-    for k in range(1, 2 * SIDE):
-        hidden += parts[k] @ w.mix[k]
+    """Embeddings around each token side by side, hidden layer and both levels of probabilities of tokens that stand by class."""
+    parts = w.embed[around.ravel()].reshape(len(tokens), 2 * SIDE * DIM)
+    hidden = parts @ w.mix.reshape(2 * SIDE * DIM, DIM)
     hidden += w.bias
     np.tanh(hidden, out=hidden)
     p_top = _softmax(hidden @ w.top + w.top_bias)
@@ -133,14 +132,14 @@ def train_step(w: Weights, memory: np.ndarray, tokens: np.ndarray, around: np.nd
         rows = slice(cut[c], cut[c + 1])
         if cut[c] < cut[c + 1]:
             g.low[c] = hidden[rows].T @ p_low[rows]
-            g.low_bias[c] = p_low[rows].sum(0)
             back[rows] += p_low[rows] @ w.low[c].T
+    full = np.flatnonzero(cut[1:] > cut[:-1])
+    g.low_bias[full] = np.add.reduceat(p_low, cut[full], axis=0)
     back *= 1 - hidden * hidden
     g.bias[:] = back.sum(0)
-    seen = np.concatenate([around[:, k] for k in range(2 * SIDE)]).astype(np.int16)
-    moved = np.concatenate([back @ w.mix[k].T for k in range(2 * SIDE)])
-    for k, p in enumerate(parts):
-        g.mix[k] = p.T @ back
+    seen = around.ravel().astype(np.int16)
+    moved = (back @ w.mix.reshape(2 * SIDE * DIM, DIM).T).reshape(-1, DIM)
+    g.mix[:] = (parts.T @ back).reshape(g.mix.shape)
     by = np.argsort(seen, kind="stable")
     seen = seen[by]
     first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
