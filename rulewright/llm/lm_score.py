@@ -88,7 +88,7 @@ def by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def forward(w: Weights, tokens: np.ndarray, around: np.ndarray, cut: np.ndarray):
     """Embeddings around each token side by side, hidden layer and both levels of probabilities of tokens that stand by class."""
-    parts = w.embed[around.ravel()].reshape(len(tokens), 2 * SIDE * DIM)
+    parts = w.embed.take(around.ravel(), axis=0).reshape(len(tokens), 2 * SIDE * DIM)
     hidden = parts @ w.mix.reshape(2 * SIDE * DIM, DIM)
     hidden += w.bias
     np.tanh(hidden, out=hidden)
@@ -137,13 +137,14 @@ def train_step(w: Weights, memory: np.ndarray, tokens: np.ndarray, around: np.nd
     g.low_bias[full] = np.add.reduceat(p_low, cut[full], axis=0)
     back *= 1 - hidden * hidden
     g.bias[:] = back.sum(0)
-    seen = around.ravel().astype(np.int16)
-    moved = (back @ w.mix.reshape(2 * SIDE * DIM, DIM).T).reshape(-1, DIM)
+    # sums over the tokens that share a neighbour come first, so that only these are multiplied
+    for k in range(2 * SIDE):
+        seen = around[:, k].astype(np.int16)
+        by = np.argsort(seen, kind="stable")
+        seen = seen[by]
+        first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        g.embed[seen[first]] += np.add.reduceat(back.take(by, axis=0), first, axis=0) @ w.mix[k].T
     g.mix[:] = (parts.T @ back).reshape(g.mix.shape)
-    by = np.argsort(seen, kind="stable")
-    seen = seen[by]
-    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-    g.embed[seen[first]] = np.add.reduceat(moved[by], first, axis=0)
     g.flat /= n
     memory += g.flat * g.flat
     w.flat -= rate * g.flat / (np.sqrt(memory) + 1e-6)
