@@ -7,6 +7,10 @@ A template of ``min_docs`` documents or more recurs if most of it is constant: o
 stays (in that document, the first), the others are dropped. Counting documents rather than lines, no order of insertion into
 the tree matters, so it can be built by exchanges. Leaves that fewer documents share cannot hold such a template; an exact
 first pass over hashes leaves them out, so that only lines of recurring leaves are spelled out.
+
+A line of over ``LONG_WORDS`` words holds enough to be a template by itself: where ``long_docs`` is set, so many documents with
+such a line are enough. It stands for its tokens with varying fields as ``<*>``, or for its own words where fields are too many
+of them for ``constant``.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ FIELD = "<*>"
 DEPTH = 3
 MIN_DOCS = 5
 CONSTANT = 0.6
+#: Lines of over so many words recur if so many documents have them.
+LONG_WORDS = 50
+LONG_DOCS = 2
 
 
 _MAYBE = re.compile(r"\d|@|://")
@@ -167,7 +174,30 @@ def _spelled(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["leaf", "doc_id", "row_key", "line", "tokens"])
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def long_templates(text: str, constant: float) -> list[tuple[int, int]]:
+    """(line number, template hash) of the lines of over LONG_WORDS words."""
+    out = []
+    for k, line in enumerate(lines_of(text)):
+        if len(line) > 2 * LONG_WORDS and len(words := line.split()) > LONG_WORDS:
+            t = tokens_of(line)
+            out.append((k, _hash(("long", *(t if 1 - t.count(FIELD) / len(t) >= constant else words)))))
+    return out
+
+
+def _long(batches: Iterator[pa.RecordBatch], constant: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [(h - (1 << 64) if h >> 63 else h, d, k, no) for d, text, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for no, h in long_templates(text, constant)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["template", "doc_id", "row_key", "line"])
+
+
+def long_lines(docs: DataFrame, constant: float = CONSTANT, long_docs: int = LONG_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key, lines array<int>): the lines of over LONG_WORDS words that so many documents have, but for the first of each."""
+    placed = stored(_base(docs, id_col, text_col).mapInArrow(partial(_long, constant=constant), "template long, doc_id long, row_key long, line int"), tidy=False)
+    return _but_first(placed.withColumn("least", F.lit(long_docs)), placed)
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
     """(row_key, lines array<int>): the lines of each row that a recurring template takes away.
 
     Nulls, empty tables and repeats: as in line_dedup().
@@ -192,15 +222,25 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     )
     named = stored(named.where(F.col("fixed") >= constant).select("leaf", "tokens", F.xxhash64("leaf", "template").alias("template")), tidy=False)
     placed = lines.join(named, ["leaf", "tokens"])
-    placed = stored(placed.select("template", "doc_id", "row_key", "line"), tidy=False)
+    placed = placed.select("template", "doc_id", "row_key", "line", F.lit(min_docs).alias("least"))
+    if long_docs is not None:
+        found = base.mapInArrow(partial(_long, constant=constant), "template long, doc_id long, row_key long, line int")
+        placed = placed.unionByName(found.withColumn("least", F.lit(long_docs)))
+    placed = stored(placed, tidy=False)
+    return _but_first(placed, lines, same, named, placed)
+
+
+def _but_first(placed: DataFrame, *spent: DataFrame) -> DataFrame:
+    """(row_key, lines array<int>) of the lines (template, doc_id, row_key, line, least) whose template is in ``least`` documents
+    or more, without the first line of each template; the tables in spent are deleted."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "row_key", "line")).alias("first")
     # one row for each template and document before templates are counted: a hot template is summed up in its tasks
-    by_doc = placed.groupBy("template", "row_key").agg(first)
-    recur = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    recur = stored(recur, tidy=False)  # so that both sides of the join are exchanged for it alone, and a hot template can be split
+    by_doc = placed.groupBy("template", "least", "row_key").agg(first)
+    recur = by_doc.groupBy("template", "least").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= F.col("least"))
+    recur = stored(recur.select("template", "first"), tidy=False)  # so that both sides of the join are exchanged for it alone, and a hot template can be split
     gone = placed.join(recur, "template").where((F.col("row_key") != F.col("first.row_key")) | (F.col("line") != F.col("first.line")))
     out = stored(gone.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("lines")), tidy=False)
-    for t in (lines, same, named, placed, recur):
+    for t in (*spent, recur):
         discard(t)
     return out
 
@@ -210,14 +250,15 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.withColumn("row_key", F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "text"))
 
 
-def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): texts less the lines of recurring templates, the first of which stays.
+def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): texts less the lines of recurring templates, the first of which stays. With long_docs,
+    lines of over LONG_WORDS words need only so many documents.
 
     Lines end at line feeds; blank lines are never dropped. A null text stays null, with no lines; an empty one is one blank
     line. Null ids come last. Repeated rows are one document: they count once, and they lose the same lines. Other columns are
     ignored. An empty table gives no rows. Texts of any length are taken whole.
     """
-    gone = recurring_lines(docs, depth, min_docs, constant, id_col, text_col)
+    gone = recurring_lines(docs, depth, min_docs, constant, id_col, text_col, long_docs)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = base.withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.coalesce("text", F.lit(""))))
     out = keyed.join(gone, "row_key", "left")
@@ -227,13 +268,24 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, co
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), long_docs=LONG_DOCS)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: lines of recurring templates go, but for the first of each; n_chars follows where it is a column."""
-    gone = recurring_lines(docs).withColumnsRenamed({"row_key": "__key", "lines": "__gone"})
+    """Pipeline stage: lines of recurring templates go, but for the first of each; n_chars follows where it is a column.
+
+    Long lines in a few documents are left to drop_long_lines(): taken here, copies would no longer look like copies."""
+    return _without(docs, recurring_lines(docs))
+
+
+def drop_long_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline step behind near_duplicates: lines of over LONG_WORDS words in LONG_DOCS documents or more go, but for the first."""
+    return _without(docs, long_lines(docs))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = gone.withColumnsRenamed({"row_key": "__key", "lines": "__gone"})
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.join(gone, key == F.col("__key"), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")

@@ -180,6 +180,20 @@ def test_line_dedup(docs):
     assert line_templates.line_dedup(empty(docs)).count() == 0
 
 
+def test_long_lines_in_two_documents(spark, tmp_path):
+    long, short, figures = prose(51), prose(50), " ".join(str(1000 + i) for i in range(60))
+    texts = ["a b\n" + long, "c d e\n" + long + "\n" + short, short, figures, "f\n" + figures, figures.replace("1059", "7"), long + " 12", long + " 345", long + " x", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, figures)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_dropped, r.kept_sha256) for r in line_templates.op10_line_dedup(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    left = {1: "c d e\n" + short, 4: "f", 7: ""}
+    assert got == sorted((i, int(i in left), sha(left.get(i, t))) for i, t in rows)
+    step = line_templates.drop_long_lines(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in step) == sorted((i, left.get(i, t) or "") for i, t in rows)
+
+
 def test_url_filter(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)
     rows = [(1, "http://a.net/x", link("c.info")), (2, "https://B.example.NET/en/1?q", link("d.info")), (3, "http://c.info/", ""), (4, "http://d.info", None), (5, None, link("a.net")), (6, "nothing", ""), (7, "http://e.info/#z", link("a.net")), (8, "http://example.com/de/", ""), (9, "http://x.org/fr/1", "")]
