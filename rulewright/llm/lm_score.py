@@ -5,9 +5,13 @@ and the two after are each mapped, added, and passed through tanh; a two-level s
 the class) gives its conditional probability. A document's score is the sum of the log-probabilities of its tokens.
 
 Tokens are lower-cased words. Those most frequent in the corpus, by counts over all documents, have an id of their own; others
-share ids by their hash. Training covers all documents: in each round, tasks start from the current weights, take gradient
-steps over their own texts in numpy, and their weights are averaged by tokens, chunk by chunk, in an exchange. The sum that is
-exchanged therefore grows with the input, while the driver only ever holds one set of weights (about a megabyte).
+share ids by their hash, and the network gives the chance of the id. It is times the word's share of its id's tokens, from a
+written table of the counts of all words, which grows with the corpus; counts of the rarer words reach the documents by an
+exchange, those of some HEAD frequent ones by broadcast. As context, a word outside the vocabulary is its id only.
+
+Training covers all documents: in each round, tasks start from the current weights, take gradient steps over their own texts
+in numpy, and their weights are averaged by tokens, chunk by chunk, in an exchange. The sum that is exchanged therefore grows
+with the input, while the driver only ever holds one set of weights (about a megabyte).
 """
 
 from __future__ import annotations
@@ -18,16 +22,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, flat, mix, pieces, word_hashes
+from .common import FLUSH, U, Sender, buckets_for, by_key, discard, flat, mix, pieces, received, stored, word_hashes
 
 SIDE = 2  # tokens on either side
 DIM = 24
 CLASSES, WITHIN = 32, 32
 VOCABULARY = CLASSES * WITHIN
 HASHED = 64  # ids that tokens outside the vocabulary share
+HEAD = 1 << 16  # words whose counts are broadcast; no count is left out, those of other words are exchanged
 STEP_TOKENS = 4096
 ROUNDS = 2
 CHUNK = 4096
@@ -150,8 +156,8 @@ def train_step(w: Weights, memory: np.ndarray, tokens: np.ndarray, around: np.nd
     w.flat -= rate * g.flat / (np.sqrt(memory) + 1e-6)
 
 
-def encode(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Token ids of texts by pieces: (first row, end row, ids, starts). known: sorted hashes and their ids."""
+def encode(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token ids of texts by pieces: (ids, starts, hashes). known: sorted hashes and their ids."""
     keys, number = known
     buf, starts = flat(texts)
     for i, j in pieces(starts):
@@ -161,40 +167,101 @@ def encode(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, int, np.nd
         if len(keys):
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             ids = np.where(keys[at] == h, number[at], ids)
-        yield i, j, ids, np.concatenate([[0], np.cumsum(count)])
+        yield ids, np.concatenate([[0], np.cumsum(count)]), h
+
+
+def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sum of each one's values."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[cut], np.add.reduceat(value, cut) if len(cut) else value
+
+
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return (mix(key.view(np.uint64) + U(0x9E3779B97F4A7C15)) % U(n)).astype(np.int32)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blobs(send: Sender) -> pa.RecordBatch:
+    rows = list(send.rows())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    send = Sender(["i8", "i8"])
     for b in batches:
         buf, starts = flat(b.column(0))
-        held = []
+        held, size = [], 0
         for i, j in pieces(starts):
             h, _ = word_hashes(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             held.append(np.unique(h.view(np.int64), return_counts=True))
-        if held:
-            h = np.concatenate([x for x, _ in held])
-            order = np.argsort(h)
-            h, n = h[order], np.concatenate([x for _, x in held])[order]
-            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(np.add.reduceat(n, cut) if len(cut) else n)], names=["word", "n"])
-
-
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words of all documents (their hashes, sorted) and their ids; ties go by hash."""
-    words = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_count, "word long, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED).collect()
+            size += len(held[-1][0])
+            if size >= FLUSH or j == len(starts) - 1:
+                word, have = _summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                send.add(_bucket(word, n), word, have)
+                held, size = [], 0
+                if send.full():
+                    yield _blobs(send)
+    yield _blobs(send)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], value: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for _, group in by_key(batches, "bucket"):
+        key, total = _summed(*received([x for g in group for x in g.column("blob").to_pylist()], ["i8", value]))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], names=names)
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A written table (word, n): the hash of every word of all documents and how often it stands there."""
+    texts = docs.select(F.col(text_col).cast("string").alias("t"))
+    found = texts.mapInArrow(partial(_count, n=buckets_for(docs)), "bucket int, blob binary")
+    return stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_sums, value="i8", names=["word", "n"]), "word long, n long"))
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words (their hashes, sorted) and their ids; ties go by hash."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED).collect()
     keys = np.array([r["word"] for r in top], np.int64)
     order = np.argsort(keys)
     return keys[order], np.arange(HASHED, HASHED + len(keys))[order]
 
 
+def _shared(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(HASHED, np.int64)
+    for b in batches:
+        word, n = (c.to_numpy() for c in b.columns)
+        own = ~np.isin(word, known.value[0])
+        np.add.at(total, (mix(word[own].view(np.uint64)) % U(HASHED)).astype(np.int64), n[own])
+    yield pa.RecordBatch.from_arrays([pa.array(range(HASHED), pa.int32()), pa.array(total)], names=["id", "n"])
+
+
+def shares(counts: DataFrame, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent words (hashes, sorted) outside the vocabulary, the logarithms of their counts, and of the tokens of each shared id."""
+    level = F.floor(4 * F.log2("n"))
+    least, have = 1 << 62, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some 200 rows at most
+        if have + r["count"] > HEAD:
+            break
+        have, least = have + r["count"], r["level"]
+    head = counts.where(level >= F.lit(least)).select("word", "n").toArrow()
+    word, n = head.column("word").to_numpy(), head.column("n").to_numpy()
+    own = ~np.isin(word, known[0])
+    word, n = word[own], n[own]
+    order = np.argsort(word)
+    total = np.zeros(HASHED)
+    sent = counts.sparkSession.sparkContext.broadcast(known)
+    for r in counts.mapInArrow(partial(_shared, known=sent), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        total[r["id"]] = r["n"]
+    return word[order], np.log(n[order]), np.log(np.maximum(total, 1))
+
+
 def _train(batches: Iterator[pa.RecordBatch], start, known, rate: float) -> Iterator[pa.RecordBatch]:
     """Gradient steps over the texts of a task; its weights, times its tokens, in chunks."""
     w = Weights(start.value.copy())
     memory = np.full_like(w.flat, 1e-4)
     seen = 0
     for b in batches:
-        for _, _, tokens, starts in encode(b.column(0), known.value):
+        for tokens, starts, _ in encode(b.column(0), known.value):
             around = contexts(tokens, starts)
             for a in range(0, len(tokens), STEP_TOKENS):
                 t = tokens[a : a + STEP_TOKENS]
@@ -231,15 +298,54 @@ def train(docs: DataFrame, known, text_col: str = "text", rounds: int = ROUNDS,
     return w
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights, known) -> Iterator[pa.RecordBatch]:
-    w = Weights(weights.value)
+def _score(batches: Iterator[pa.RecordBatch], weights, known, shared, n: int) -> Iterator[pa.RecordBatch]:
+    """Scores by row, in which a word that is not broadcast counts as if it stood once; such words and their rows, by bucket."""
+    w, (head, log_n, log_total) = Weights(weights.value), shared.value
+    send = Sender(["i8", "i8"])
+    names = ["row", "doc_id", "n_tokens", "log_likelihood", "bucket", "blob"]
+    row, kind = TaskContext.get().partitionId() << 40, None
+
+    def rest() -> pa.RecordBatch:
+        bucket, blob = _blobs(send).columns
+        none = [pa.nulls(len(bucket), t) for t in (pa.int64(), kind, pa.int64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([*none, bucket, blob], names=names)
+
     for b in batches:
-        count, total = [], []
-        for _, _, tokens, starts in encode(b.column(1), known.value):
-            lp = np.concatenate([[0.0], np.cumsum(log_probs(w, tokens, starts))])
+        kind = b.column(0).type
+        count, total, first = [], [], row
+        for tokens, starts, h in encode(b.column(1), known.value):
+            lp = log_probs(w, tokens, starts)
+            at = np.flatnonzero(tokens < HASHED)
+            word, add = h[at], -log_total[tokens[at]]
+            place = np.minimum(np.searchsorted(head, word), max(len(head) - 1, 0))
+            met = head[place] == word if len(head) else np.zeros(len(word), bool)
+            add[met] += log_n[place[met]]
+            lp[at] += add
+            rare = np.flatnonzero(~met)
+            send.add(_bucket(word[rare], n), word[rare], row + np.searchsorted(starts, at[rare], side="right") - 1)
+            lp = np.concatenate([[0.0], np.cumsum(lp)])
             count += np.diff(starts).tolist()
             total += (lp[starts[1:]] - lp[starts[:-1]]).tolist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
+            row += len(starts) - 1
+            if send.full():
+                yield rest()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, row)), b.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.nulls(len(count), pa.int32()), pa.nulls(len(count), pa.binary())], names=names)
+    if kind is not None:
+        yield rest()
+
+
+def _rarer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Logarithms of the counts of the words of a bucket, for each row that has them, by bucket of the row."""
+    send = Sender(["i8", "f8"])
+    for _, group in by_key(batches, "bucket"):
+        word, row = received([x for g in group for x in g.column("blob").to_pylist()], ["i8", "i8"])
+        _, at, count = np.unique(word, return_inverse=True, return_counts=True)
+        many = count[at] > 1  # the logarithm of 1 adds nothing
+        row, add = _summed(row[many], np.log(count[at[many]]))
+        send.add(_bucket(row, n), row, add)
+        if send.full():
+            yield _blobs(send)
+    yield _blobs(send)
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -248,12 +354,20 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     Null or wordless texts have no tokens, a sum of 0 and a null mean. Repeated rows train as often as they stand there and get
     one score, equal up to rounding. Other columns are ignored. An empty table gives no rows.
     """
-    sc = docs.sparkSession.sparkContext
-    known = vocabulary(docs, text_col)
+    sc, n = docs.sparkSession.sparkContext, buckets_for(docs)
+    counts = word_counts(docs, text_col)
+    known = vocabulary(counts)
+    shared = shares(counts, known)
+    discard(counts)
     weights = train(docs, known, text_col, rounds)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(base.dtypes)["doc_id"]
-    out = base.mapInArrow(partial(_score, weights=sc.broadcast(weights), known=sc.broadcast(known)), f"doc_id {kind}, n_tokens long, log_likelihood double")
+    score = partial(_score, weights=sc.broadcast(weights), known=sc.broadcast(known), shared=sc.broadcast(shared), n=n)
+    found = stored(base.mapInArrow(score, f"row long, doc_id {kind}, n_tokens long, log_likelihood double, bucket int, blob binary"))
+    rarer = found.where("bucket is not null").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_rarer, n=n), "bucket int, blob binary")
+    rarer = rarer.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_sums, value="f8", names=["row", "more"]), "row long, more double")
+    out = found.where("bucket is null").join(rarer, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

@@ -148,6 +148,24 @@ def test_lm_score(docs):
     assert lm_score.lm_score(empty(docs)).count() == 0
 
 
+def test_lm_score_counts_every_word(spark, monkeypatch):
+    common = [f"w{i}" for i in range(lm_score.VOCABULARY - lm_score.HASHED)]
+    by_id = {}
+    for i in range(200):
+        h, _ = lm_score.word_hashes(np.frombuffer(f"r{i}".encode(), np.uint8), np.array([0, len(f"r{i}")]))
+        by_id.setdefault(int(lm_score.mix(h)[0] % np.uint64(lm_score.HASHED)), []).append(f"r{i}")
+    often, once = next(v for v in by_id.values() if len(v) > 1)[:2]
+    texts = [" ".join(common * 9), f"w1 w2 {often} w3", f"w1 w2 {once} w3", f"w7 {often} w8 w9 {often}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").coalesce(1)
+    scores = []
+    for head in (lm_score.HEAD, 0):  # counts by broadcast, and all of them by exchange
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        got = lm_score.lm_score(docs, rounds=1).orderBy("doc_id").collect()
+        scores.append([r.log_likelihood for r in got])
+        assert len(got) == 6 and abs(scores[-1][1] - scores[-1][2] - np.log(5)) < 1e-3 and abs(scores[-1][3] - scores[-1][4]) < 1e-3
+    assert np.allclose(*scores, atol=1e-3)
+
+
 def brute_lines(rows, min_docs=5):
     docs = {(d if d is not None else 1 << 62, t or "") for d, t in rows}
     lines, leaf = [], {}
