@@ -146,11 +146,10 @@ def train(labelled: DataFrame, per_language: int = 500, id_col: str = "doc_id",
     smallest are taken, at most ``per_language``, so that the sample does not depend on the order or number of partitions."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null")
     spread = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(7)), F.lit(1 << 20))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(500).collect()}
-    most = F.lit(0)  # a threshold on the hash for each language leaves few more rows than are needed
-    for lang, n in counts.items():
-        most = F.when(F.col("l") == lang, F.lit(int(min(1.0, (1.5 * per_language + 50) / n) * (1 << 20)))).otherwise(most)
-    near = rows.where(spread < most).withColumn("s", spread)
+    # a threshold on the hash for each language leaves few more rows than are needed
+    most = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("count")) * (1 << 20)
+    counts = rows.groupBy("l").count().select("l", most.cast("long").alias("most"))
+    near = rows.withColumn("s", spread).join(F.broadcast(counts), "l").where("s < most")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("s", "i", F.xxhash64("t")))).where(F.col("r") <= per_language)
     got = near.orderBy("l", "r").select("l", F.coalesce("t", F.lit("")).alias("t")).mapInArrow(_vectors, "lang string, at binary, weight binary").collect()
     x = np.zeros((len(got), 1 << BITS), np.float32)

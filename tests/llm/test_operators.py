@@ -148,6 +148,12 @@ def test_lm_score(docs):
     assert lm_score.lm_score(empty(docs)).count() == 0
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "Model", lambda x, lang: lang)
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(510)], "doc_id long, text string, lang string")
+    assert sorted(language_id.train(docs)) == sorted(f"l{i}" for i in range(510))
+
+
 def test_lm_score_counts_every_word(spark, monkeypatch):
     common = [f"w{i}" for i in range(lm_score.VOCABULARY - lm_score.HASHED)]
     by_id = {}
