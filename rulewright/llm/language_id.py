@@ -1,7 +1,7 @@
 """Language ID by hierarchical discrimination: the language family first, then one-versus-one linear support vector machines.
 
-Features are hashed byte trigrams and words of the whole text (A-Z and other cased letters lower-cased, digits and marks as
-one), square roots of their counts, scaled to length one. A one-versus-rest linear SVM picks the family; inside a family of
+Features are hashed byte trigrams of the whole text (A-Z lower-cased, other cased letters as they are, ASCII digits and marks as
+blanks), square roots of their counts, scaled to length one. A one-versus-rest linear SVM picks the family; inside a family of
 several languages each pair of languages has its own linear SVM, and votes, then summed margins, decide. Families of closely
 related languages are a fixed table; a language outside it is a family of its own.
 
