@@ -242,9 +242,9 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
         yield now, held
 
 
-def id_bucket(column, n: int):
-    """Bucket of an integer id: the same in Spark and in bucket_of()."""
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def row_key(id_col: str, text_col: str):
+    """A hash of id and text that stands for a row; null ids and null texts have one too (that of an empty text)."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def connected(edges: DataFrame) -> DataFrame:

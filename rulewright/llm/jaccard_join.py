@@ -2,13 +2,21 @@
 
 Filter by prefixes under several global token orders. In any order that all documents share, two sets of Jaccard ``t`` must
 have a common token among the first ``n - ceil(t n) + 1`` of each. Every order here puts tokens of many documents last (by
-counts over all documents) and differs in how it orders the rest. The first order gives candidates; a candidate goes on only
-if the prefixes under each other order share a token too; what is left is verified on the whole sets.
+counts over all documents) and differs in how it orders the rest. The first order gives groups of candidates; a pair goes on
+only if the prefixes under each other order share a token too, which is tested on hashes of tokens before any text moves; what
+is left is verified on the whole sets.
 
-Equal sets are one node. Inside a group of candidates, which may hold a third of all rows, pairs are not spelled out: rounds
-compare each node with a few centres of its group and merge what links, and only then are the nodes outside a group's largest
-class compared with all of the group that is not yet in their own class. So every link between classes is found and no
-verified pair is skipped for the size of a group. All of it is exact up to 64-bit hash collisions.
+Equal sets are one node, and groups of the same nodes are one group. Pairs are spelled out in groups of at most ``SMALL`` nodes
+alone. A larger group, which may hold a third of all rows, gets a pivot: the tokens that over a quarter of some of its nodes have. For any
+set ``c``: if all that x and y share is in ``c``, then |x & y| is at most |x & c| and |y & c|. So two nodes link only if
+
+* they share a token outside the pivot, and then also among the first ``n - ceil(t n) + 1`` of those: such tokens form the
+  groups of the next round; or
+* both hold so much of the pivot that it would do (``near``). Where what x and y miss of the pivot together leaves enough, both
+  surely link with the node that misses least among those no larger than either, so links to these few nodes stand for such
+  pairs. Near nodes that are then in another class than most of their group are compared with its near nodes one by one.
+
+A pivot is only a help: whatever it is, no link is lost. All of it is exact up to 64-bit hash collisions.
 """
 
 from __future__ import annotations
@@ -20,10 +28,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FLUSH, NULL_ID, U, Sender, buckets_for, by_key, connected, discard, flat, mix, pieces, places, received, stored, word_hashes
+from .common import FLUSH, NULL_ID, U, Sender, buckets_for, by_key, connected, discard, flat, mix, pieces, places, received, row_key, stored, word_hashes
 
 #: Numbers that make the token orders differ: fixed values.
 ORDERS = (0, 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
@@ -31,8 +39,12 @@ ORDERS = (0, 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
 COMMON = 1 << 20
 #: Bits of a set's parities; they turn away pairs that surely differ in too many tokens before texts are moved.
 BITS = 2048
-#: Centres that a group's nodes are compared with, round by round.
-CENTRES = (1, 4, 8)
+#: Nodes of a group up to which its pairs are spelled out. Any choice gives the same links.
+SMALL = 12
+#: Nodes of a larger group that its pivot is made from, about.
+VOTERS = 64
+#: Tokens that a verifying task holds of nodes it may meet again.
+KNOWN = 1 << 21
 
 
 def shingle_sets(buf: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
@@ -88,10 +100,12 @@ class Common:
         return out
 
 
-def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens that come first under an order, as many as a set of that Jaccard must share one of."""
-    keep = len(tokens) - -(-percent * len(tokens) // 100) + 1
-    if not len(tokens):
+def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int, size: int | None = None) -> np.ndarray:
+    """The tokens that come first under an order, as many as a set of that Jaccard must share one of; size: that of the set, if
+    tokens are only a part of it."""
+    n = len(tokens) if size is None else size
+    keep = n - -(-percent * n // 100) + 1
+    if len(tokens) <= keep and (size is not None or not n):
         return tokens
     rare = tokens[late == 0]
     if len(rare) >= keep:
@@ -214,62 +228,92 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, node, num = token[once], node[once], num[once]
             _, at, count = np.unique(token, return_inverse=True, return_counts=True)
             many = (count[at] > 1) | bool(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(node[many]), pa.array(num[many].astype(np.int64))], names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(node[many]), pa.array(num[many].astype(np.int64))], names=["g", "node", "n"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
+    """Beside each node's text its parities and, for each order but the first, its prefix as 32-bit hashes."""
+    common = order.value
+    ints = pa.list_(pa.int32())
     for b in batches:
         buf, starts = flat(b.column(1))
-        bits = [parity(t) for i, j in pieces(starts) for t in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that link: they share prefix tokens under every other order, and then 100 |a & b| >= percent |a | b|."""
-    common = order.value
-    known: dict[int, tuple] = {}
+        bits, first = [], [[] for _ in ORDERS[1:]]
+        for i, j in pieces(starts):
+            for t in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
+                late = common.late(t, n)
+                bits.append(parity(t))
+                for o, to in zip(ORDERS[1:], first, strict=True):
+                    to.append((mix(prefix(t, o, late, percent)) >> U(32)).astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64())), *(pa.array(x, ints) for x in first)], names=["node", "text", "bits", *(f"first{k}" for k in range(1, len(ORDERS)))])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that link: 100 |a & b| >= percent |a | b|."""
+    known: dict[int, np.ndarray] = {}
+    held = 0
     for b in batches:
         at = [b.column("a").to_pylist(), b.column("b").to_pylist()]
-        new: dict[int, tuple[int, int]] = {}
-        for side, column in enumerate(at):
-            for row, node in enumerate(column):
-                if node not in known:
-                    new.setdefault(node, (side, row))
         for side, name in enumerate(("text_a", "text_b")):
-            own = [(k, row) for k, (s, row) in new.items() if s == side]
-            buf, starts = flat(b.column(name).take(pa.array([r for _, r in own], pa.int64())))
-            done = 0
+            new = {node: row for row, node in enumerate(at[side]) if node not in known}
+            buf, starts = flat(b.column(name).take(pa.array(list(new.values()), pa.int64())))
+            own = iter(new)
             for i, j in pieces(starts):
                 for tokens in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
-                    late = common.late(tokens, n)
-                    known[own[done][0]] = (tokens, [np.sort(prefix(tokens, o, late, percent)) for o in ORDERS[1:]])
-                    done += 1
+                    known[next(own)] = tokens
+                    held += len(tokens)
         ok = []
         for x, y in zip(*at, strict=True):
-            (s, ps), (t, pt) = known[x], known[y]
-            good = all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(ps, pt, strict=True))
-            if good:
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good = 100 * both >= percent * (len(s) + len(t) - both)
-            ok.append(good)
-        keep = np.flatnonzero(ok)
-        yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep))], names=["a", "b"])
-        if len(known) > 2000:
-            known = {y: known[y] for y in set(at[1])} if len(set(at[1])) < 1000 else {}
+            s, t = known[x], known[y]
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            ok.append(100 * both >= percent * (len(s) + len(t) - both))
+        keep = pa.array(np.flatnonzero(ok))
+        yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], names=["a", "b"])
+        if held > KNOWN:
+            known, held = {}, 0
+
+
+def _pivots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of each group, the tokens that over a quarter of its voters have, sorted."""
+    for g, group in by_key(batches, "g"):
+        held = []
+        for b in group:
+            buf, starts = flat(b.column("text"))
+            for i, j in pieces(starts):
+                held += shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
+        tokens, count = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([tokens[4 * count > len(held)].view(np.int64)], pa.list_(pa.int64()))], names=["g", "pivot"])
 
 
-def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the class of each document under links of Jaccard ``percent`` / 100 or more.
+def _measured(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
+    """(g, node, n, common with the pivot, the pivot's size, first tokens outside the pivot) of nodes with their group's pivot."""
+    common = order.value
+    longs = pa.list_(pa.int64())
+    for b in batches:
+        buf, starts = flat(b.column("text"))
+        pivots = b.column("pivot")
+        inter, of, outside = [], [], []
+        row = 0
+        for i, j in pieces(starts):
+            for tokens in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
+                own = pivots[row]
+                pivot = own.values.to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else np.zeros(0, np.uint64)
+                rest = np.setdiff1d(tokens, pivot, assume_unique=True)
+                inter.append(len(tokens) - len(rest))
+                of.append(len(pivot))
+                outside.append(prefix(rest, ORDERS[0], common.late(rest, n), percent, len(tokens)).view(np.int64))
+                row += 1
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("node"), b.column("n"), pa.array(inter, pa.int64()), pa.array(of, pa.int64()), pa.array(outside, longs)], names=["g", "node", "n", "both", "of", "outside"])
 
-    component_id is the smallest id reachable by links, itself included. Null or blank texts have no shingles and link with
-    nothing, not even each other. A text of fewer words than ``size`` is one shingle. Null ids come after all others (a class
-    of null ids alone has a null component_id). Repeated rows give repeated rows of one class; rows that share an id are in
-    the classes of their texts. Other columns are ignored, whatever their names. Empty table: no rows.
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, node, n) of every row, and (node, label) of the nodes that a group has, labels equal where links join.
+
+    Nodes stand for different shingle sets; a node without a label is a class of its own, one of n = 0 links with nothing.
     """
     spark = docs.sparkSession
     doc = F.col(id_col).cast("long")
     base = docs.select(doc.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "text").alias("row_key"), "text")
+    base = base.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
     n = buckets_for(docs)
     rows = stored(base.mapInArrow(partial(_nodes, size=size), "doc_id long, row_key long, node long, n long"))
 
@@ -287,13 +331,26 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     discard(counted)
 
     found = base.select("text").mapInArrow(partial(_prefixes, size=size, n=n, percent=percent, order=order), "bucket int, kind int, blob binary")
-    groups = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "token long, node long, n long"))
+    groups = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "g long, node long, n long"))
     wanted = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    texts = stored(base.select("row_key", "text").join(wanted, "row_key").select("node", "text").mapInArrow(partial(_texts, size=size), "node long, text string, bits array<long>"))
-    label = _merge(groups, texts, partial(_verify, size=size, n=n, percent=percent, order=order), percent)
+    sketch = partial(_texts, size=size, n=n, percent=percent, order=order)
+    texts = base.select("row_key", "text").join(wanted, "row_key").select("node", "text").dropDuplicates(["node"])
+    texts = stored(texts.mapInArrow(sketch, "node long, text string, bits array<long>, first1 array<int>, first2 array<int>"))
+    label = _merge(groups, texts, size, percent, partial(_measured, size=size, n=n, percent=percent, order=order))
     for t in (groups, texts):
         discard(t)
+    return rows, label
+
+
+def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): the class of each document under links of Jaccard ``percent`` / 100 or more.
 
+    component_id is the smallest id reachable by links, itself included. Null or blank texts have no shingles and link with
+    nothing, not even each other. A text of fewer words than ``size`` is one shingle. Null ids come after all others (a class
+    of null ids alone has a null component_id). Repeated rows give repeated rows of one class; rows that share an id are in
+    the classes of their texts. Other columns are ignored, whatever their names. Empty table: no rows.
+    """
+    rows, label = classes(docs, size, percent, id_col, text_col)
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     nodes = stored(nodes, tidy=False)
     component = nodes.join(nodes.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("node", "component_id")
@@ -301,48 +358,146 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _merge(groups: DataFrame, texts: DataFrame, verify, percent: int) -> DataFrame:
-    """(node, label) of all nodes in groups, labels equal where links join them."""
+def _merge(groups: DataFrame, texts: DataFrame, size: int, percent: int, measure) -> DataFrame:
+    """(node, label) of all nodes in groups (g, node, n), labels equal where links join them."""
     label = stored(groups.select("node").distinct().select("node", F.col("node").alias("label")), tidy=False)
-    lengths = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    for turn, centres in enumerate((*CENTRES, 0)):
-        open_ = groups.join(label, "node")
-        several = open_.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        open_ = stored(open_.join(several, "token", "left_semi"), tidy=False)
-        if centres:
-            picks = [F.min(F.struct(F.xxhash64("node", F.lit(100 * turn + k)).alias("by"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias(f"c{k}") for k in range(centres)]
-            other = open_.groupBy("token").agg(*picks).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"c{k}.b", f"c{k}.m", f"c{k}.to") for k in range(centres)]))).alias("c")).select("token", "c.*")
-            pairs = open_.join(other, "token").where((F.col("label") != F.col("to")) & lengths)
-        else:  # all that is not in a group's largest class, with all that is not in its own
-            share = open_.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-            rest = open_.join(share, "token").where("label <> largest").select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), "largest")
-            pairs = open_.join(rest, "token").where((F.col("label") != F.col("to")) & ((F.col("label") == F.col("largest")) | (F.col("node") < F.col("b"))) & lengths)
-        pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.first("n").alias("n"), F.first("m").alias("m"))
-        # exact: of n and m tokens, at least percent / (100 + percent) of both together are common, so 2 * that many differ at most
-        bits_a, bits_b = (texts.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-        differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (s, x) -> s + x)")
-        pairs = stored(pairs.join(bits_a, "a").join(bits_b, "b").where(differ * (100 + percent) <= F.col("n") * (100 - percent) + F.col("m") * (100 - percent)).select("a", "b"), tidy=False)
-        tested = pairs
-        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        links = stored(pairs.sortWithinPartitions("b").mapInArrow(verify, "a long, b long"))
-        left, right = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        joined = connected(links.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        new = stored(label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label")), tidy=False)
-        for t in (open_, tested, links, joined, label):
-            discard(t)
-        label = new
-    return label
+    near, spent, first = None, [], True
+    while True:
+        open_, large = _open(groups, label, first)
+        pairs = _small_pairs(open_, percent)
+        if near is not None:
+            pairs = pairs.unionByName(_near_pairs(near, label, percent))
+        links = _verified(pairs, texts, size, percent)
+        old, near = near, None
+        if large.limit(1).count():
+            rows = _with_pivots(large, texts, size, measure)
+            near = rows.join(rows.groupBy("g").agg(F.min("n").alias("least")), "g").where(_enough(F.col("both"), F.col("n") + F.col("least"), percent)).select("g", "node", "n", "both", "of")
+            near = stored(near, tidy=False)
+            links = links.unionByName(_sure_links(near, percent))
+            groups = stored(rows.select(F.explode("outside").alias("token"), "g", "node", "n").select(F.xxhash64("g", "token").alias("g"), "node", "n"), tidy=False)
+            spent.append(groups)
+            discard(rows)
+        new = _joined(label, links)
+        for t in (open_, large, links, label, old):
+            if t is not None:
+                discard(t)
+        label, first = new, False
+        if near is None:
+            for t in spent:
+                discard(t)
+            return label
+
+
+def _enough(both, sizes, percent: int):
+    """Whether sets of so many tokens together link if they share so many."""
+    return (100 + percent) * both >= percent * sizes
+
+
+def _open(groups: DataFrame, label: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+    """Groups that hold several classes, those of equal nodes once: (g, node, n, label) of small ones, (g, node, n) of large ones.
+
+    Large groups whose nodes have the same smallest hash become one in the first round: those of a family of copies are many.
+    """
+    rows = groups.join(label, "node")
+    sign = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in range(2)]
+    head = F.min(F.struct(F.xxhash64("node", F.lit(9)).alias("h"), "node")).alias("head")
+    sets = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), *sign, head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    sets = stored(sets.groupBy("k", "s0", "s1").agg(F.min("g").alias("g"), F.min("head.node").alias("head")).select("g", "k", "head"), tidy=False)
+    small = stored(rows.join(sets.where(F.col("k") <= SMALL).select("g"), "g").select("g", "node", "n", "label"), tidy=False)
+    large = rows.join(sets.where(F.col("k") > SMALL), "g").select(F.col("head" if first else "g").alias("g"), "node", "n")
+    large = stored(large.groupBy("g", "node").agg(F.first("n").alias("n")), tidy=False)
+    discard(sets)
+    return small, large
+
+
+def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
+    other = small.select("g", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
+    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return small.join(other, "g").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("to")) & fits).select(F.col("node").alias("a"), "b", "n", "m")
+
+
+def _near_pairs(near: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs of near nodes of a group in different classes that what they hold of the pivot would do for."""
+    rows = near.join(label, "node")
+    largest = rows.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    rows = stored(rows.join(largest, "g"), tidy=False)
+    other = rows.where("label <> largest").select("g", F.col("node").alias("b"), F.col("n").alias("m"), F.col("both").alias("both_b"), F.col("label").alias("to"))
+    apart = (F.col("label") != F.col("to")) & ((F.col("label") == F.col("largest")) | (F.col("node") < F.col("b")))
+    pairs = rows.join(other, "g").where(apart & _enough(F.least("both", "both_b"), F.col("n") + F.col("m"), percent))
+    return pairs.select(F.col("node").alias("a"), "b", "n", "m")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first(F.col("n") + F.col("m")).alias("sizes"))
+    firsts = [f"first{k}" for k in range(1, len(ORDERS))]
+    for k in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("bits", *firsts))), k)
+    shared = F.lit(True)
+    for c in firsts:
+        shared &= F.arrays_overlap(f"{c}_a", f"{c}_b")
+    # exact: of both sizes together, at least percent / (100 + percent) are common, so no more than the rest differ
+    differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (s, x) -> s + x)")
+    pairs = stored(pairs.where(shared & (differ * (100 + percent) <= F.col("sizes") * (100 - percent))).select("a", "b"), tidy=False)
+    for k in "ab":
+        full = (pairs if k == "a" else full).join(texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")), k)
+    links = stored(full.sortWithinPartitions("b").mapInArrow(partial(_verify, size=size, percent=percent), "a long, b long"))
+    discard(pairs)
+    return links
+
+
+def _with_pivots(large: DataFrame, texts: DataFrame, size: int, measure) -> DataFrame:
+    text = texts.select("node", "text")
+    sizes = large.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    voters = large.join(sizes, "g").where(F.pmod(F.xxhash64("node", F.lit(11)), "k") < VOTERS).select("g", "node")
+    pivots = voters.join(text, "node").select("g", "text").repartition("g").sortWithinPartitions("g").mapInArrow(partial(_pivots, size=size), "g long, pivot array<long>")
+    pivots = stored(pivots, tidy=False)
+    rows = large.join(text, "node").join(pivots, "g", "left").select("g", "node", "n", "text", "pivot")
+    rows = stored(rows.mapInArrow(measure, "g long, node long, n long, both long, of long, outside array<long>"), tidy=False)
+    discard(pivots)
+    return rows
+
+
+def _sure_links(near: DataFrame, percent: int) -> DataFrame:
+    """Links of near nodes with those that miss least of their group's pivot among nodes of their size or less.
+
+    They share what neither misses, so no text is needed where that is enough."""
+    miss = F.col("of") - F.col("both")
+    best = near.groupBy("g", "n").agg(F.min(F.struct(miss.alias("miss"), "node")).alias("z")).select("g", F.col("n").alias("m"), F.col("z.miss").alias("miss"), F.col("z.node").alias("z"))
+    before = F.min("miss").over(Window.partitionBy("g").orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("before", before).where("before is null or miss < before").select("g", "m", "miss", "z")
+    sure = near.join(best, "g").where((F.col("m") <= F.col("n")) & (F.col("node") != F.col("z")) & _enough(F.col("both") - F.col("miss"), F.col("n") + F.col("m"), percent))
+    return sure.select(F.col("node").alias("a"), F.col("z").alias("b")).distinct()
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels, those that links join made equal."""
+    left, right = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = links.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = connected(pairs)
+    new = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    new = stored(new, tidy=False)
+    discard(joined)
+    return new
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Shingles and class of every document: words of five, Jaccard 0.75. Nulls, empty texts, repeats and ties: as in jaccard_classes()."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays (rows that share that id are one document)."""
-    keep = jaccard_classes(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    orphan = docs.where(F.col("doc_id").isNull())
-    return docs.join(keep, "doc_id", "left_semi").unionByName(orphan)
+    """Pipeline stage: of each class one document stays, that of the smallest id (nulls last, ties by a hash of id and text).
+
+    Texts without shingles (null or blank) are copies of nothing and stay. Rows of one id and text are one document: one of them
+    stays if it does. Other columns come along as they are, whatever their names. An empty table stays empty.
+    """
+    rows, label = classes(docs)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "row_key")).alias("first")
+    nodes = rows.where("n > 0").groupBy("node").agg(first).join(label, "node", "left")
+    keep = nodes.groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("key"))
+    keep = stored(keep.unionByName(rows.where("n = 0").select(F.col("row_key").alias("key")).distinct()), tidy=False)
+    whole = docs.select(row_key("doc_id", "text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return whole.join(keep, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 OP4_SQL = r"""

@@ -276,3 +276,23 @@ def test_pipeline(spark, tmp_path, docs):
             assert now.columns == cols
     assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/language_id").collect()} >= set(range(3, 24)) - {4}
     assert p.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_jaccard_classes_in_large_groups(spark, monkeypatch):
+    """Families of near copies, cut ones among them, and unrelated texts with a common head, in groups that get pivots."""
+    own = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for _ in range(2):
+        base = own.choices(words, k=90)
+        for _ in range(45):
+            t = list(base)
+            for _ in range(own.randint(0, 12)):
+                t[own.randrange(90)] = own.choice(words)
+            rows.append((len(rows), " ".join(t[: own.randint(55, 90)] if own.random() < 0.3 else t)))
+    head = own.choices(words, k=12)
+    rows += [(len(rows) + k, " ".join(head + own.choices(words, k=own.randint(0, 30)))) for k in range(50)]
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "COMMON", 4)
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_classes(rows))
