@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .matcher import Rule
 INF = float("inf")
 #: Findings that keep a rule from being written.
 BLOCKING = frozenset(("duplicate_condition", "priority_collision", "overlap", "dead_rule", "duplicate_name"))
-CONSTRAINTS = "rule_id long, ordinal int, rule_name string, grp string, action string, priority int, branch int, field string, op string, num double, txt string, low double, high double, low_in boolean, high_in boolean"
+CONSTRAINTS = "rule_id long, ordinal int, rule_name string, grp string, action string, priority int, branch int, branches int, field string, op string, num double, txt string, low double, high double, low_in boolean, high_in boolean"
 
 
 def interval(op: str, value) -> tuple | None:
@@ -25,22 +26,64 @@ def interval(op: str, value) -> tuple | None:
     return {">": (v, INF, False, False), ">=": (v, INF, True, False), "<": (-INF, v, False, False), "<=": (-INF, v, False, True), "==": (v, v, True, True)}[op]
 
 
-def constraint_rows(rules: Iterable[Rule]) -> list[tuple]:
+#: Operators whose negation is an operator; null values apart, which meet neither.
+NEGATED = {">": "<=", ">=": "<", "<": ">=", "<=": ">", "==": "!=", "!=": "==", "in": "not_in", "not_in": "in", "exists": "not_exists", "not_exists": "exists"}
+#: Conjunctions that a rule may stand for at most; more are an error.
+BRANCHES = 4096
+
+
+def conjunctions(node, positive: bool = True) -> Iterator[tuple]:
+    """The conjunctions of leaves that a tree stands for, one at a time, NOT pushed into the leaves. What has no negated operator,
+    or is no leaf, is left out of its conjunction: it can hold."""
+    if node is None:
+        return iter(() if positive else ((),))
+    if isinstance(node, ir.Group):
+        if not node.children:
+            return iter(((),) if positive else ())
+        if node.op == "NOT":
+            return conjunctions(node.children[0], not positive)
+        if (node.op == "AND") == positive:
+            return _product(node.children, positive)
+        return itertools.chain.from_iterable(conjunctions(c, positive) for c in node.children)
+    if isinstance(node, ir.Leaf):
+        if positive:
+            return iter(((node,),))
+        return iter(((ir.Leaf(node.field, NEGATED[node.op], node.value),),)) if node.op in NEGATED else iter(((),))
+    return iter(((),))
+
+
+def _product(children, positive: bool) -> Iterator[tuple]:
+    if not children:
+        yield ()
+        return
+    for head in conjunctions(children[0], positive):
+        for rest in _product(children[1:], positive):
+            yield head + rest
+
+
+def constraint_rows(rules: Iterable[Rule], compat: bool = False) -> list[tuple]:
     out = []
     for ordinal, r in enumerate(rules):
-        tree = r.tree(compat=True)
-        branches = tree.children if isinstance(tree, ir.Group) and tree.op == "OR" else (tree,)
+        tree = r.tree(compat)
+        if compat:  # the children of an OR at the top, whatever stands below read as AND
+            branches = [tuple(ir.leaves(b)) for b in (tree.children if isinstance(tree, ir.Group) and tree.op == "OR" else (tree,))]
+        else:
+            branches = list(itertools.islice(conjunctions(tree), BRANCHES + 1))
+            if len(branches) > BRANCHES:
+                raise ir.RuleError(f"rule {r.name!r} stands for more than {BRANCHES} conjunctions")
         for b, branch in enumerate(branches):
-            for leaf in ir.leaves(branch):
+            for leaf in branch:
                 i = interval(leaf.op, leaf.value)
                 text = leaf.value if isinstance(leaf.value, str) else None
-                out.append((r.id, ordinal, r.name, r.group or "default", r.action or "", r.priority, b, leaf.field, leaf.op, float(leaf.value) if isinstance(leaf.value, (int, float)) else None, text, *(i or (None, None, None, None))))
+                out.append((r.id, ordinal, r.name, r.group or "default", r.action or "", r.priority, b, len(branches), leaf.field, leaf.op, float(leaf.value) if isinstance(leaf.value, (int, float)) else None, text, *(i or (None, None, None, None))))
     return out
 
 
-def constraints(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """A row for each leaf of each rule, with its top-level OR branch and its interval."""
-    return spark.createDataFrame(constraint_rows(rules), CONSTRAINTS)
+def constraints(spark: SparkSession, rules: Iterable[Rule], compat: bool = False) -> DataFrame:
+    """A row for each leaf of each conjunction (branch) that a rule stands for, with its interval.
+
+    compat: branches are the children of an OR at the top, and all below is read as a conjunction, NOT and OR as well."""
+    return spark.createDataFrame(constraint_rows(rules, compat), CONSTRAINTS)
 
 
 def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
@@ -76,7 +119,7 @@ def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("l.low").alias("low"), F.col("h.high").alias("high"), (F.col("l.o") == 0).alias("low_in"), (F.col("h.i") == 1).alias("high_in"))
 
 
-def branch_intervals(cons: DataFrame, exact: bool = False) -> DataFrame:
+def branch_intervals(cons: DataFrame, exact: bool = True) -> DataFrame:
     """Intervals of a branch by field: the union of its bounds (compatible), or their intersection (exact)."""
     keys = ["rule_id", "grp", "action", "branch", "field"]
     own = cons.where("low is not null")
@@ -87,7 +130,7 @@ def branch_intervals(cons: DataFrame, exact: bool = False) -> DataFrame:
     return out.select(*keys, F.col("l.low").alias("low"), F.col("h.high").alias("high"), (F.col("l.o") == 0).alias("low_in"), (F.col("h.i") == 1).alias("high_in"))
 
 
-def conflicts(cons: DataFrame, exact: bool = False, fallback: bool = False, candidate: DataFrame | None = None) -> DataFrame:
+def conflicts(cons: DataFrame, exact: bool = True, fallback: bool = False, candidate: DataFrame | None = None) -> DataFrame:
     """(rule1, rule2, grp, fields): rules of one group with different actions whose branches overlap.
 
     Branches overlap on fields whose intervals meet, unless a field that both have is disjoint, as numbers or as texts that
@@ -113,30 +156,53 @@ def conflicts(cons: DataFrame, exact: bool = False, fallback: bool = False, cand
     return out.select(F.col("a_rule_id").alias("rule1"), F.col("b_rule_id").alias("rule2"), "grp", F.array_join("fields", ",").alias("fields"))
 
 
-def redundancies(cons: DataFrame, exact: bool = False) -> DataFrame:
-    """(rule_id, redundant_to): rules whose every interval lies in one of another rule, by the first such rule in order.
+def redundancies(cons: DataFrame, exact: bool = True) -> DataFrame:
+    """(rule_id, redundant_to): rules that fire only where another one does, by the first such rule in order.
 
-    exact asks that both have the same fields, so that the other rule tests nothing more.
+    exact: each branch of the rule lies in a branch of the other that tests the same number fields, each within a range that holds
+    the rule's, and the same of everything else. Otherwise: each interval of the rule, whatever its branch, lies in one of the
+    other's of that field.
     """
+    if exact:
+        return _redundant_branches(cons)
     own = cons.where("low is not null").select("rule_id", "ordinal", "field", "low", "high", "low_in", "high_in")
     child = own.select(*[F.col(c).alias(c if c == "field" else f"a_{c}") for c in own.columns])
     parent = own.select(*[F.col(c).alias(c if c == "field" else f"b_{c}") for c in own.columns])
     inside = child.join(parent, "field").where((F.col("a_rule_id") != F.col("b_rule_id")) & contains("b_", "a_"))
     place = F.struct("field", "a_low", "a_high", "a_low_in", "a_high_in")
     covered = inside.groupBy("a_rule_id", "b_rule_id", "b_ordinal").agg(F.count_distinct(place).alias("n"))
-    total = own.groupBy("rule_id").agg(F.count_distinct(F.struct("field", "low", "high", "low_in", "high_in")).alias("all"), F.array_sort(F.collect_set("field")).alias("fields"))
-    out = covered.join(total.select(F.col("rule_id").alias("a_rule_id"), "all", F.col("fields").alias("fa")), "a_rule_id").where("n = all")
-    if exact:
-        out = out.join(total.select(F.col("rule_id").alias("b_rule_id"), F.col("fields").alias("fb")), "b_rule_id").where("fa = fb")
+    total = own.groupBy("rule_id").agg(F.count_distinct(F.struct("field", "low", "high", "low_in", "high_in")).alias("all"))
+    out = covered.join(total.select(F.col("rule_id").alias("a_rule_id"), "all"), "a_rule_id").where("n = all")
     return out.groupBy(F.col("a_rule_id").alias("rule_id")).agg(F.min_by("b_rule_id", "b_ordinal").alias("redundant_to"))
 
 
-def dead_rules(cons: DataFrame) -> DataFrame:
-    """(rule_id, field, reason): rules that can never fire, read as conjunctions."""
+def _redundant_branches(cons: DataFrame) -> DataFrame:
+    keys = ["rule_id", "branch"]
+    ranges = branch_intervals(cons, True).select(*keys, F.struct("field", "low", "high", "low_in", "high_in").alias("r"))
+    ranges = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("ranges"))
+    rest = F.array_sort(F.collect_set(F.when(F.col("low").isNull(), F.concat_ws("\u0001", "field", "op", F.coalesce("txt", F.col("num").cast("string"))))))
+    rows = cons.groupBy(*keys).agg(F.first("ordinal").alias("ordinal"), F.first("branches").alias("branches"), rest.alias("rest")).join(ranges, keys)
+    # only branches that test the same fields and the same rest meet
+    rows = rows.withColumn("shape", F.struct(F.transform("ranges", lambda x: x["field"]).alias("fields"), "rest"))
+    sides = [rows.select("shape", *[F.col(c).alias(f"{p}{c}") for c in ("rule_id", "ordinal", "branch", "branches", "ranges")]) for p in ("a_", "b_")]
+    lower = "(y.low < x.low or (y.low = x.low and (y.low_in or not x.low_in)))"
+    upper = "(y.high > x.high or (y.high = x.high and (y.high_in or not x.high_in)))"
+    inside = F.expr(f"forall(zip_with(a_ranges, b_ranges, (x, y) -> {lower} and {upper}), z -> z)")
+    met = sides[0].join(sides[1], "shape").where((F.col("a_rule_id") != F.col("b_rule_id")) & inside)
+    out = met.groupBy("a_rule_id", "b_rule_id").agg(F.count_distinct("a_branch").alias("n"), F.first("a_branches").alias("all"), F.first("b_ordinal").alias("o")).where("n = all")
+    return out.groupBy(F.col("a_rule_id").alias("rule_id")).agg(F.min_by("b_rule_id", "o").alias("redundant_to"))
+
+
+def dead_rules(cons: DataFrame, compat: bool = False) -> DataFrame:
+    """(rule_id, field, reason): rules that can never fire because each of their branches contradicts itself on a field.
+
+    compat: all of a rule's leaves are read as one conjunction, branches and all.
+    """
     eq = F.when(F.col("op") == "==", F.coalesce(F.col("num").cast("string"), F.col("txt")))
     low = F.max(F.when(F.col("op").isin(">", ">=") & F.col("num").isNotNull(), F.struct("num", (F.col("op") == ">").cast("int").alias("o"))))
     high = F.min(F.when(F.col("op").isin("<", "<=") & F.col("num").isNotNull(), F.struct("num", (F.col("op") == "<=").cast("int").alias("i"))))
-    per = cons.groupBy("rule_id", "field").agg(F.count_distinct(eq).alias("values"), F.max(F.when(F.col("op") == "==", F.col("num"))).alias("eq"), F.max(F.when(F.col("op") == "==", F.col("txt"))).alias("text"), low.alias("lo"), high.alias("hi"))
+    by = ["rule_id", "field"] if compat else ["rule_id", "branch", "branches", "field"]
+    per = cons.groupBy(*by).agg(F.count_distinct(eq).alias("values"), F.max(F.when(F.col("op") == "==", F.col("num"))).alias("eq"), F.max(F.when(F.col("op") == "==", F.col("txt"))).alias("text"), low.alias("lo"), high.alias("hi"))
     reason = (
         F.when(F.col("values") > 1, F.lit("conflicting equality values"))
         .when((F.col("lo.num") > F.col("hi.num")) | ((F.col("lo.num") == F.col("hi.num")) & ((F.col("lo.o") == 1) | (F.col("hi.i") == 0))), F.lit("contradictory bounds"))
@@ -144,7 +210,11 @@ def dead_rules(cons: DataFrame) -> DataFrame:
         .when((F.col("eq") > F.col("hi.num")) | ((F.col("eq") == F.col("hi.num")) & (F.col("hi.i") == 0)), F.lit("equality conflicts with upper bound"))
         .when(F.col("text").isNotNull() & (F.col("lo").isNotNull() | F.col("hi").isNotNull()), F.lit("equality outside bounded interval"))
     )
-    return per.withColumn("reason", reason).where("reason is not null").select("rule_id", "field", "reason")
+    found = per.withColumn("reason", reason).where("reason is not null")
+    if not compat:
+        whole = found.groupBy("rule_id").agg(F.count_distinct("branch").alias("n"), F.first("branches").alias("all")).where("n = all").select("rule_id")
+        found = found.join(whole, "rule_id", "left_semi")
+    return found.select("rule_id", "field", "reason").distinct()
 
 
 def gaps(cons: DataFrame, finite_only: bool = False) -> DataFrame:
@@ -233,38 +303,8 @@ def similar(rules: DataFrame, candidate: Rule, top: int = 5, least: int = 30) ->
 
 def satisfiable(node, limit: int = 100_000) -> bool | None:
     """Whether some event can meet a tree: exact for bounds, equalities and memberships under AND, OR and NOT; None beyond limit."""
-    flip = {">": "<=", ">=": "<", "<": ">=", "<=": ">", "==": "!=", "!=": "==", "in": "not_in", "not_in": "in", "exists": "not_exists", "not_exists": "exists"}
-    count = [0]
-
-    def terms(n, positive: bool):
-        """Conjunctions of leaves, one at a time."""
-        if n is None:
-            return iter(() if positive else ((),))
-        if isinstance(n, ir.Group):
-            if not n.children:
-                return iter(((),) if positive else ())
-            if n.op == "NOT":
-                return terms(n.children[0], not positive)
-            if (n.op == "AND") == positive:
-                return product([c for c in n.children], positive)
-            return itertools.chain.from_iterable(terms(c, positive) for c in n.children)
-        if isinstance(n, ir.Leaf):
-            if positive:
-                return iter(((n,),))
-            return iter(((ir.Leaf(n.field, flip[n.op], n.value),),)) if n.op in flip else iter(((),))
-        return iter(((),))
-
-    def product(children, positive):
-        if not children:
-            yield ()
-            return
-        for head in terms(children[0], positive):
-            for rest in product(children[1:], positive):
-                yield head + rest
-
-    for term in terms(node, True):
-        count[0] += 1
-        if count[0] > limit:
+    for k, term in enumerate(conjunctions(node)):
+        if k >= limit:
             return None
         if _possible(term):
             return True
@@ -304,6 +344,30 @@ def sat_report(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.id, satisfiable(r.tree(True))) for r in rules], "rule_id long, satisfiable boolean")
 
 
+def import_findings(spark: SparkSession, candidates: list[Rule], rules: list[Rule]) -> tuple[dict, dict, dict]:
+    """What speaks against candidates, in one pass over all: (place: dead reason), (place: an existing rule that overlaps), and of the
+    other places (place: those of earlier candidates that overlap), which the caller resolves in order.
+
+    Equal conditions, names and priorities need no join. Constraints of all candidates are one table; a rule with the candidate's
+    id does not speak against it.
+    """
+    own = [replace(r, id=-1 - i) for i, r in enumerate(candidates)]
+    mine = constraints(spark, own).cache()
+    dead = {-1 - r["rule_id"]: r["reason"] for r in dead_rules(mine).groupBy("rule_id").agg(F.min("reason").alias("reason")).collect()}
+    peers = [r for r in rules if r.enabled]
+    names = spark.createDataFrame([(-1 - i, r.id) for i, r in enumerate(candidates)], "rule1 long, own long")
+    first = {}
+    if peers:
+        met = conflicts(constraints(spark, peers).unionByName(mine), candidate=mine).where("rule2 >= 0").join(names, "rule1").where("rule2 <> own")
+        first = {-1 - r["rule1"]: (r["rule2"], r["fields"]) for r in met.groupBy("rule1").agg(F.min_by(F.struct("rule2", "fields"), "rule2").alias("f")).select("rule1", "f.*").collect()}
+    left = mine.where(~F.col("rule_id").isin([-1 - i for i in {*dead, *first}])) if dead or first else mine
+    earlier: dict[int, list] = {}
+    for r in conflicts(left).select(F.greatest("rule1", "rule2").alias("early"), F.least("rule1", "rule2").alias("late"), "fields").collect():
+        earlier.setdefault(-1 - r["late"], []).append((-1 - r["early"], r["fields"]))
+    mine.unpersist()
+    return dead, first, earlier
+
+
 def validate_candidate(spark: SparkSession, candidate: Rule, rules: Iterable[Rule]) -> DataFrame:
     """(type, rule_id, other, detail): what speaks against writing a rule, next to those that exist."""
     peers = [r for r in rules if r.id != candidate.id and r.enabled]

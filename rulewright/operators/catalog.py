@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cron
@@ -51,6 +51,9 @@ class Catalog:
         all_ = self.table("rules", RULES)
         return (all_ if rule_id is None else all_.where(F.col("rule_id") == rule_id)).orderBy(F.desc("current_version"))
 
+    def version(self, rule_id: int, number: int) -> DataFrame:
+        return self.table("rules", RULES).where((F.col("rule_id") == rule_id) & (F.col("current_version") == number))
+
     def current(self) -> DataFrame:
         return latest_versions(self.table("rules", RULES), "rule_id", "current_version").where("not deleted")
 
@@ -75,22 +78,52 @@ class Catalog:
         invalidate()
 
     def import_rules(self, candidates: Iterable[Rule], at: datetime, user: int | None = None, blocking: frozenset = analysis.BLOCKING) -> dict:
-        """Bulk creation in order: each candidate is held against what exists and what was accepted before it; the rest is parked."""
-        have, created, parked, errors = self.rules(), [], [], []
+        """Bulk creation in order: each candidate is held against what exists and what was accepted before it; the rest is parked.
+
+        All candidates are validated in a few jobs, however many they are; only which of two new rules comes first is settled here.
+        """
+        have, good, parked, errors = self.rules(), [], [], []
         for c in candidates:
             try:
                 bad, _ = ir.lint(c.condition)
                 if bad:
                     raise ir.RuleError(bad[0]["message"], bad[0]["path"])
                 ir.parse(c.condition)
+                good.append(c)
             except ValueError as e:
                 errors.append((c.id, str(e)))
-                continue
-            found = analysis.validate_candidate(self.spark, c, [*have, *created]).where(F.col("type").isin(*sorted(blocking))).collect()
+        dead, overlap, earlier = analysis.import_findings(self.spark, good, have) if good else ({}, {}, {})
+        held: dict[tuple, dict] = {}  # what accepted rules have, with their ids
+
+        def keys(r: Rule) -> dict:
+            group = r.group or "default"
+            return {"duplicate_condition": (ir.canonical(r.condition), r.action or ""), "priority_collision": (group, r.priority), "duplicate_name": r.name}
+
+        def hold(r: Rule) -> None:
+            for kind, k in keys(r).items():
+                held.setdefault((kind, k), {})[r.id] = r.name
+
+        for r in have:
+            if r.enabled:
+                hold(r)
+        created, accepted = [], set()
+        for i, c in enumerate(good):
+            found = []
+            for kind, k in keys(c).items():
+                others = [x for x in held.get((kind, k), ()) if x != c.id]
+                detail = {"duplicate_condition": "same condition and action", "priority_collision": str(c.priority), "duplicate_name": c.name}[kind]
+                found += [(kind, x, detail) for x in others[:1]]
+            if i in dead:
+                found.append(("dead_rule", None, dead[i]))
+            near = [overlap[i]] if i in overlap else [(good[e].id, f) for e, f in earlier.get(i, ()) if e in accepted and good[e].id != c.id][:1]
+            found += [("overlap", other, fields) for other, fields in near]
+            found = [f for f in found if f[0] in blocking]
             if found:
-                parked += [(uuid.uuid4().hex, c.id, c.name, ir.canonical(c.condition), c.action, c.group or "default", c.priority, f["type"], f["other"], f["detail"], "pending", at) for f in found]
+                parked += [(uuid.uuid4().hex, c.id, c.name, ir.canonical(c.condition), c.action, c.group or "default", c.priority, *f, "pending", at) for f in found]
             else:
                 created.append(c)
+                accepted.add(i)
+                hold(c)
         self.put(created, at, user)
         self.append("parked", PARKED, parked)
         return {"created": [r.id for r in created], "parked": sorted({p[1] for p in parked}), "errors": errors}
@@ -193,7 +226,3 @@ def audit_run(spark: SparkSession, checks: dict, scope: str, at: datetime, secre
                 rows.append((title, name, False, None, f"{type(e).__name__}: {e}"))
     out = spark.createDataFrame(rows, "check string, scope string, passed boolean, count long, detail string")
     return out.withColumn("report_hash", hmac_sha256(secret, F.concat_ws("|", "check", "scope", F.col("passed").cast("string"), F.lit(at.isoformat()))))
-
-
-def rank_versions(versions: DataFrame, key: str = "rule_id", order: str = "version") -> DataFrame:
-    return versions.withColumn("newest", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))

@@ -107,15 +107,17 @@ def _parameter_shape(tree) -> tuple | None:
     return None
 
 
-def match(events: DataFrame, rules: Iterable[Rule], key: str | list[str], flags: Flags = Flags(), strategy: str = "auto", explain: bool = False, execution_order: bool = True, keep: Iterable[str] = ()) -> DataFrame:
+def match(events: DataFrame, rules: Iterable[Rule], key: str | list[str], flags: Flags = Flags(), strategy: str = "auto", explain: bool = False, execution_order: bool = True, keep: Iterable[str] = (), group: str | None = None, ids: Iterable[int] | None = None) -> DataFrame:
     """(key..., keep..., rule_id, rule_name, priority, action[, exec_order][, explanation]), a row for each match.
 
-    Many rules that compare one field with a number become a small table that is joined by broadcast (``params``); all others
-    become one array of matches over shared leaves (``wide``), where the order of execution is the order in the array, so that
-    neither needs a shuffle. Only where both are used together does an order of execution take a window over the event's key.
+    group and ids choose among the rules as active() does. Many rules that compare one field with a number become a small table
+    that is joined by broadcast (``params``): each event meets each threshold, of which it matches half on average, so the join
+    does about as much as it returns. All others become one array of matches over shared leaves (``wide``), where the order of
+    execution is the order in the array. Neither needs a shuffle, but an order of execution takes a window over the event's key
+    wherever a parameter table is used.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rules = active(rules)
+    rules = active(rules, group, ids)
     compiled = compile_rules(rules, flags)
     fields = Fields(events.schema)
     shapes: dict[tuple, list] = {}

@@ -12,6 +12,8 @@ from typing import Any
 OPERATORS = (">", ">=", "<", "<=", "==", "!=", "in", "not_in", "contains", "starts_with", "ends_with", "regex", "exists", "not_exists")
 WORDS = {"eq": "==", "ne": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "in": "in", "contains": "contains"}
 AGGREGATES = ("count", "sum", "min", "max", "avg")
+#: Node types that plug-ins have registered.
+CUSTOM: set[str] = set()
 SECONDS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}
 
 
@@ -142,6 +144,8 @@ def parse(node: Any, compat: bool = False, path: str = "$"):
             on = tuple((j["left_field"], j["right_field"]) for j in node.get("join_on", ()))
             return CrossFactJoin(parse(node["left"], compat, f"{path}.left"), parse(node["right"], compat, f"{path}.right"), on, node.get("match", "all"))
         return CrossFactCount(node.get("correlate_field"))
+    if kind in CUSTOM:
+        return Custom(kind, {k: v for k, v in node.items() if k != "type"})
     if compat:
         return None
     raise RuleError(f"unknown type {kind!r}", path)

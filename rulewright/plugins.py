@@ -10,12 +10,12 @@ from importlib.metadata import entry_points
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .plans import compiler
+from .plans import compiler, ir
 
 ACTIONS: dict[str, dict] = {}
 STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-#: The actions that come with the engine; each only reports that it was asked for.
-BUILT_IN = ("send_alert", "send_email", "block_transaction", "flag_for_review", "approve_transaction", "call_webhook", "trigger_workflow", "call_drim_descision", "print_debug")
+#: The actions that come with the engine; each only reports that it was asked for.
+BUILT_IN = ("send_alert", "send_email", "block_transaction", "approve_transaction", "flag_for_review", "call_webhook", "print_debug")
 
 
 def action(name: str, description: str = "", category: str = "general"):
@@ -57,7 +57,8 @@ def execute_all(matches: DataFrame) -> DataFrame:
 
 
 def register_rule_type(kind: str, make) -> None:
-    """make(spec, fields, flags) gives the Column of a Custom node of this kind."""
+    """make(spec, fields, flags) gives the Column of a Custom node; conditions of this type are such nodes, their other keys the spec."""
+    ir.CUSTOM.add(kind)
     compiler.NODES[kind] = make
 
 

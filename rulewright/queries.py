@@ -12,6 +12,7 @@ from .operators.matcher import Rule, match
 from .plans import ir
 from .plans.compiler import Fields, Flags, compile_tree, truth
 from .sources.rules import events_from_json
+from .streaming import sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -339,7 +340,7 @@ _IN = "((b.low < a.low OR (b.low = a.low AND (b.li OR NOT a.li))) AND (b.high >
 
 @query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(min(other) AS BIGINT) AS redundant_to FROM (SELECT a.rule_id, b.rule_id AS other, count(DISTINCT (a.field, a.low, a.high)) AS n FROM ({_I}) a JOIN ({_I}) b ON a.field = b.field AND a.rule_id <> b.rule_id AND {_IN} GROUP BY 1, 2) JOIN (SELECT rule_id AS r, count(DISTINCT (field, low, high)) AS n_all FROM ({_I}) GROUP BY 1) ON r = rule_id AND n = n_all GROUP BY 1")
 def redundancy(spark, d):
-    return analysis.redundancies(_cons(spark))
+    return analysis.redundancies(_cons(spark), exact=False)
 
 
 @query("SELECT CAST(3 AS BIGINT) AS rule_id, 'age' AS field, 'contradictory bounds' AS reason")
@@ -401,6 +402,68 @@ def similar_rules(spark, d):
     return analysis.similar(analysis.rule_table(spark, SET), Rule(99, "teen", leaf("age", ">", 1), "x", 0, "age"))
 
 
+# rules made from the parts: up to two branches, two fields, thousands of rules
+
+
+def _many(spark, d):
+    k, size, price, inf = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_retailprice"), F.lit(float("inf"))
+
+    def bound(branch, field, op, num, low, high, low_in, high_in):
+        return F.struct(F.lit(branch).alias("branch"), F.lit(field).alias("field"), F.lit(op).alias("op"), num.alias("num"), low.alias("low"), high.alias("high"), F.lit(low_in).alias("low_in"), F.lit(high_in).alias("high_in"))
+
+    top = size + (k % 4) - 1
+    first = F.array(bound(0, "size", ">=", size, size, inf, True, False), bound(0, "size", "<=", top, -inf, top, False, True), bound(0, "price", ">=", price, price, inf, True, False), bound(0, "price", "<", price + 0.5, -inf, price + 0.5, False, False))
+    second = F.array(bound(1, "size", "==", size, size, size, True, True))
+    two = k % 3 == 0
+    rows = table(spark, d, "part").select(k.alias("rule_id"), k.cast("int").alias("ordinal"), F.col("p_name").alias("rule_name"), F.col("p_brand").alias("grp"), F.col("p_type").alias("action"), F.lit(0).alias("priority"), F.when(two, 2).otherwise(1).alias("branches"), F.explode(F.when(two, F.concat(first, second)).otherwise(first)).alias("x"))
+    return rows.select("rule_id", "ordinal", "rule_name", "grp", "action", "priority", "x.branch", "branches", "x.field", "x.op", "x.num", F.lit(None).cast("string").alias("txt"), "x.low", "x.high", "x.low_in", "x.high_in")
+
+
+@query("SELECT p_partkey AS rule_id, 'size' AS field, 'contradictory bounds' AS reason FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 <> 0")
+def dead_rules_or(spark, d):
+    return analysis.dead_rules(_many(spark, d))
+
+
+_BRANCHES = "SELECT p_partkey AS k, p_brand AS g, p_type AS a, CAST(p_size AS DOUBLE) AS s, p_size + p_partkey % 4 - 1.0::DOUBLE AS t, p_retailprice AS r, p_retailprice + 0.5::DOUBLE AS u FROM part UNION ALL SELECT p_partkey, p_brand, p_type, p_size, p_size, NULL, NULL FROM part WHERE p_partkey % 3 = 0"
+
+
+@query(f"SELECT x.k AS rule1, y.k AS rule2, any_value(x.g) AS grp, CASE WHEN bool_or(x.r IS NOT NULL AND y.r IS NOT NULL) THEN 'price,size' ELSE 'size' END AS fields FROM ({_BRANCHES}) x JOIN ({_BRANCHES}) y ON x.g = y.g AND x.k < y.k AND x.a <> y.a AND greatest(x.s, y.s) <= least(x.t, y.t) AND (x.r IS NULL OR y.r IS NULL OR greatest(x.r, y.r) < least(x.u, y.u)) GROUP BY 1, 2")
+def conflicts_or(spark, d):
+    return analysis.conflicts(_many(spark, d))
+
+
+@query(f"SELECT k AS rule_id, min(o) AS redundant_to FROM (SELECT x.k, y.k AS o, count(DISTINCT (x.r IS NULL)) AS n FROM ({_BRANCHES}) x JOIN ({_BRANCHES}) y ON x.k <> y.k AND (x.r IS NULL) = (y.r IS NULL) AND y.s <= x.s AND y.t >= x.t AND (x.r IS NULL OR (y.r <= x.r AND y.u >= x.u)) GROUP BY 1, 2) JOIN (SELECT k AS kk, count(*) AS n_all FROM ({_BRANCHES}) GROUP BY 1) ON kk = k AND n = n_all GROUP BY 1")
+def redundancy_or(spark, d):
+    return analysis.redundancies(_many(spark, d))
+
+
+@query("""SELECT 'price' AS field, hole AS low, r AS high FROM (SELECT p_retailprice AS r, coalesce(max(p_retailprice + 0.5::DOUBLE) OVER (ORDER BY p_retailprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST('-inf' AS DOUBLE)) AS hole FROM part WHERE p_partkey % 7 = 0) WHERE hole < r
+UNION ALL SELECT 'price', max(p_retailprice + 0.5::DOUBLE), CAST('inf' AS DOUBLE) FROM part WHERE p_partkey % 7 = 0 HAVING count(*) > 0""")
+def gaps_many(spark, d):
+    return analysis.gaps(analysis.branch_intervals(_many(spark, d).where("rule_id % 7 = 0 and field = 'price'")))
+
+
+@query("SELECT p_partkey AS rule_id, first AS duplicate_of FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size, p_type) AS first FROM part) WHERE p_partkey <> first")
+def duplicate_rules_many(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_partkey").alias("ordinal"), F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("condition"), F.col("p_type").alias("action"))
+    return analysis.duplicates(rows, with_action=True)
+
+
+_TREES = [
+    (1, group("OR", leaf("x", ">", 10), leaf("x", "<", 5)), True),
+    (2, group("AND", leaf("y", ">", 10), group("NOT", leaf("y", "<", 5))), True),
+    (3, group("AND", leaf("y", ">", 10), group("NOT", leaf("y", ">", 5))), False),
+    (4, group("OR", group("AND", leaf("x", ">", 10), leaf("x", "<", 5)), group("AND", leaf("z", "==", 1), leaf("z", "==", 2))), False),
+    (5, group("NOT", group("OR", leaf("x", ">", 1), leaf("x", "<=", 1))), False),
+    (6, group("AND", group("OR", leaf("x", "<", 0), leaf("x", ">", 9)), leaf("x", "in", [1, 2, 10])), True),
+]
+
+
+@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, satisfiable FROM {values([(i, ok) for i, _, ok in _TREES], 'rule_id, satisfiable')}")
+def sat_trees(spark, d):
+    return analysis.sat_report(spark, [Rule(i, f"r{i}", tree) for i, tree, _ in _TREES])
+
+
 @query()
 def sat_rules(spark, d):
     return analysis.sat_report(spark, SET)
@@ -438,11 +501,38 @@ def audit_tally(spark, d):
     return catalog.audit_tally(good, "secret", 1000)
 
 
-@query()
+def _pad(byte: int) -> str:
+    return bytes(b ^ byte for b in b"secret".ljust(64, b"\0")).hex()
+
+
+@query(f"SELECT event_id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(concat_ws('|', CAST(event_id AS VARCHAR), event_type, props))))) AS stamp FROM events")
 def audit_hmac(spark, d):
     return table(spark, d, "events").select("event_id", hmac_sha256("secret", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")).alias("stamp"))
 
 
+# --- sessions ---------------------------------------------------------------------------------------------------------
+
+_OP = "CASE WHEN event_type = 'purchase' AND value > 150 THEN 'delete' WHEN event_type = 'click' THEN 'retract' ELSE 'assert' END"
+_LOG = f"SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, {_OP} AS op, CAST(event_id % 20 AS VARCHAR) AS fact, event_type AS payload, ts FROM events WHERE user_id IS NOT NULL"
+_LIVE = f"SELECT session, max(seq) FILTER (op = 'delete') AS cut FROM ({_LOG}) GROUP BY session HAVING max(ts) >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 5 DAY AND arg_max(op, seq) <> 'delete'"
+
+
+@query(f"SELECT session, fact, arg_max(payload, seq) AS payload FROM ({_LOG}) JOIN ({_LIVE}) USING (session) WHERE op <> 'delete' AND (cut IS NULL OR seq > cut) GROUP BY session, fact HAVING arg_max(op, seq) = 'assert'")
+def session_facts(spark, d):
+    log = table(spark, d, "events").where("user_id is not null").selectExpr("cast(user_id as string) as session", "'me' as owner", "event_id as seq", f"{_OP} as op", "cast(event_id % 20 as string) as fact", "event_type as payload", "cast(ts as timestamp) as at")
+    return sessions.live_facts(log, "2024-01-30 00:00:00", 5 * 86400)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS session, event_type AS name, CAST(sum(event_id % 5) AS BIGINT) AS value FROM events GROUP BY 1, 2")
+def session_counters(spark, d):
+    return sessions.counters(table(spark, d, "events").selectExpr("cast(user_id as string) as session", "event_type as name", "event_id % 5 as delta"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS session, event_type AS name, event_id AS seq, 10 + 5 * (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1) AS value FROM events")
+def session_sequences(spark, d):
+    return sessions.sequences(table(spark, d, "events").selectExpr("cast(user_id as string) as session", "event_type as name", "event_id as seq"), 10, 5)
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY")
 def retention_filter(spark, d):
     return catalog.retained(table(spark, d, "events"), "2024-01-30 00:00:00", 7, "ts").select("event_id")

@@ -13,6 +13,7 @@ from rulewright.operators.matcher import Rule, match
 from rulewright.plans import ir
 from rulewright.sources import rules as source
 from rulewright.streaming import engine as stream
+from rulewright.streaming import sessions
 
 
 def leaf(f, op, v=None):
@@ -138,3 +139,55 @@ def test_entry_has_queries():
     import __spark_entry__ as e
 
     assert "exec_order" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_or_and_not_in_analysis(spark, tmp_path):
+    """Each branch of an OR is judged alone, and NOT turns bounds round; import writes what can fire."""
+    either = Rule(1, "either", group("OR", leaf("x", ">", 10), leaf("x", "<", 5)), "a", 1)
+    negated = Rule(2, "negated", group("AND", leaf("y", ">", 10), group("NOT", leaf("y", "<", 5))), "b", 2)
+    never = Rule(3, "never", group("AND", leaf("y", ">", 10), group("NOT", leaf("y", ">", 5))), "c", 3)
+    cons = analysis.constraints(spark, [either, negated, never])
+    assert [tuple(r) for r in analysis.dead_rules(cons).collect()] == [(3, "y", "contradictory bounds")]
+    assert analysis.dead_rules(analysis.constraints(spark, [either, negated, never], compat=True), compat=True).count() == 2
+    store = catalog.Catalog(spark, str(tmp_path))
+    at = datetime(2024, 1, 1)
+    out = store.import_rules([either, negated, never, Rule(4, "late", leaf("x", ">", 20), "z", 9), Rule(5, "fine", leaf("w", ">", 20), "z", 8), Rule(6, "bad", {"type": "nonsense"})], at)
+    assert (out["created"], out["parked"], [e[0] for e in out["errors"]]) == ([1, 2, 5], [3, 4], [6])
+    again = store.import_rules([Rule(7, "fine", leaf("v", ">", 0), "q", 8), Rule(8, "new", leaf("w", "<", 0), "z", 7)], at)
+    assert (again["created"], again["parked"]) == ([8], [7])
+    assert {r["type"] for r in store.parked().where("rule_id = 7").collect()} == {"duplicate_name", "priority_collision"}
+    assert store.version(5, 1).count() == 1 and store.version(5, 2).count() == 0
+
+
+def test_match_takes_ids_and_group(spark):
+    events = spark.createDataFrame([(1, 5.0), (2, 50.0)], "id long, x double")
+    rules = [Rule(1, "a", leaf("x", ">", 1), group="g"), Rule(2, "b", leaf("x", ">", 10), group="h")]
+    ids = lambda **k: sorted((r["id"], r["rule_id"]) for r in match(events, rules, "id", **k).collect())
+    assert ids() == [(1, 1), (2, 1), (2, 2)] and ids(ids=[2]) == [(2, 2)] and ids(group="g") == [(1, 1), (2, 1)] and ids(ids=[]) == ids()
+
+
+def test_custom_node_from_json(spark):
+    plugins.register_rule_type("between", lambda spec, fields, flags: fields.get(spec["field"])[0].between(spec["low"], spec["high"]))
+    events = spark.createDataFrame([(1, 5.0), (2, 50.0)], "id long, x double")
+    rule = Rule(1, "mid", {"type": "between", "field": "x", "low": 1, "high": 9})
+    assert [r["id"] for r in match(events, [rule], "id").collect()] == [1]
+
+
+def test_session_store(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    later = lambda s: at + timedelta(seconds=s)
+    store = sessions.SessionStore(spark, str(tmp_path), ttl=60, facts=2)
+    store.create("s", "ann", at)
+    store.assert_facts("s", "ann", {"a": "1", "b": "2"}, at)
+    store.assert_facts("s", "ann", {"a": "3"}, later(1))
+    with pytest.raises(sessions.LimitReached):
+        store.assert_facts("s", "ann", {"c": "1"}, later(2))
+    with pytest.raises(sessions.NotOwner):
+        store.retract("s", "bob", "a", later(2))
+    assert store.retract("s", "ann", "b", later(2)) and not store.retract("s", "ann", "b", later(2))
+    assert [tuple(r) for r in store.facts("s", later(30)).collect()] == [("s", "a", "3")]
+    assert store.facts("s", later(90)).count() == 0 and store.sessions("ann", later(30)).count() == 1
+    store.assert_facts("s", "bob", {"z": "9"}, later(90))  # the old one has ended
+    assert [r["fact"] for r in store.facts("s", later(91)).collect()] == ["z"] and store.sessions("bob", later(91)).count() == 1
+    assert (store.accumulate("t", "n", 2, at), store.accumulate("t", "n", 3, at)) == (2.0, 5.0)
+    assert (store.next_number("t", "q", at, 1, 2), store.next_number("t", "q", at, 1, 2)) == (1, 3)
