@@ -138,16 +138,11 @@ def powers(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of texts laid end to end, A-Z lower-cased, and the number of words of each text.
-
-    A word's hash is a polynomial over its bytes, taken as a difference of prefix sums, so that no word is handled alone.
-    """
+def word_places(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words [^\\x20\\x09-\\x0D]+ of texts laid end to end begin and end, and the number of words of each text."""
     n = len(buf)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
-    if lower:
-        buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts) - 1, np.int64)
     space = _SPACE[buf]
     first = np.ones(n, bool)
     first[1:] = space[:-1]
@@ -157,11 +152,23 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = True) -> tupl
     last = np.ones(n, bool)
     last[:-1] = space[1:]
     last[inner[inner > 0] - 1] = True
-    end = np.flatnonzero(last & ~space) + 1
+    return begin, np.flatnonzero(last & ~space) + 1, np.diff(np.searchsorted(begin, starts))
+
+
+def hashes_at(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from begin to end: polynomials, taken as differences of prefix sums, so that no word is handled alone."""
+    n = len(buf)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + U(1)) * powers("up", n), out=total[1:])
-    h = mix((total[end] - total[begin]) * powers("down", n)[begin] + (end - begin).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-    return h, np.diff(np.searchsorted(begin, starts))
+    return mix((total[end] - total[begin]) * powers("down", n)[begin] + (end - begin).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts laid end to end, A-Z lower-cased, and the number of words of each text."""
+    begin, end, count = word_places(buf, starts)
+    if not len(buf):
+        return np.zeros(0, np.uint64), count
+    return hashes_at(np.where((buf >= 65) & (buf <= 90), buf + 32, buf), begin, end), count
 
 
 def places(keys: np.ndarray) -> np.ndarray:

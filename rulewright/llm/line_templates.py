@@ -1,273 +1,408 @@
 """Line dedup by a log-template tree of fixed depth.
 
 The first level of the tree is a line's number of tokens, the next ``depth`` levels its leading tokens, with fields that vary
-(numbers, hexadecimal ids, links, addresses) as ``<*>``. Inside a leaf the template is generalised by position: a token that
-fewer than ``min_docs`` documents have there is a variable field. Lines of one leaf with the same template are one template.
-A template of ``min_docs`` documents or more recurs if most of it is constant: of its lines the one in the smallest document id
-stays (in that document, the first), the others are dropped. Counting documents rather than lines, no order of insertion into
-the tree matters, so it can be built by exchanges. Leaves that fewer documents share cannot hold such a template; an exact
-first pass over hashes leaves them out, so that only lines of recurring leaves are spelled out.
+(tokens with a digit, links, addresses) as ``<*>``. Inside a leaf the template is generalised by position: a token that fewer
+than ``min_docs`` documents have there is a variable field. Lines of one leaf with the same template are one template. A template
+of ``min_docs`` documents or more recurs if most of it is constant: of its lines the one in the smallest document id stays (in
+that document, the first), the others are dropped. Counting documents rather than lines, no order of insertion into the tree
+matters, so it can be built by exchanges.
 
 A line of over ``LONG_WORDS`` words holds enough to be a template by itself: where ``long_docs`` is set, so many documents with
 such a line are enough. It stands for its tokens with varying fields as ``<*>``, or for its own words where fields are too many
 of them for ``constant``.
+
+Tokens leave the texts as 32-bit hashes, each different line of a flush once and with at most ``min_docs`` of its documents: more
+are not needed to tell that it recurs, so a line of very many documents is a few rows. Leaves meet in buckets. A leaf that holds a
+large share of all lines (``HOT``) is counted by Spark, position by position, instead. What comes back to the documents are ids of
+lines that recur; texts are never exchanged for this. All is exact up to collisions: of 32 bits for tokens of one leaf and place,
+else of 64.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FLUSH, NULL_ID, Sender, buckets_for, by_key, discard, mix, places, received, stored
+from .common import NULL_ID, U, buckets_for, by_key, discard, flat, hashes_at, ids, mix, pieces, places, row_key, stored, word_places
 
-#: Fields that vary from line to line.
-VARIABLE = re.compile(r"^\W*(?:[a-z]+://\S+|\S+@\S+\.\S+|0x[0-9a-f]+|[0-9a-f]{8}-[0-9a-f-]{27,}|\S*\d\S*)\W*$", re.IGNORECASE)
-FIELD = "<*>"
+#: Fields without a digit that vary from line to line.
+VARIABLE = re.compile(rb"^[^A-Za-z0-9_]*(?:[A-Za-z]+://\S+|\S+@\S+\.\S+)[^A-Za-z0-9_]*$")
+FIELD = U(0x452821E638D01377)
 DEPTH = 3
 MIN_DOCS = 5
 CONSTANT = 0.6
 #: Lines of over so many words recur if so many documents have them.
 LONG_WORDS = 50
 LONG_DOCS = 2
+#: A leaf of so many different lines, and of more than a hundred thousandth of all, is not put into one bucket.
+HOT = 20_000
+#: Tokens that a task gathers before it hands their lines on.
+FLUSH_TOKENS = 1 << 21
 
-
-_MAYBE = re.compile(r"\d|@|://")
-
-
-def tokens_of(line: str) -> list[str]:
-    if not _MAYBE.search(line):
-        return line.split()
-    return [FIELD if _MAYBE.search(t) and VARIABLE.match(t) else t for t in line.split()]
-
-
-def leaf_of(tokens: list[str], depth: int = DEPTH) -> tuple:
-    return (len(tokens), *tokens[:depth])
+_K = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def _hash(parts: tuple) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def lines_of(text: str) -> list[str]:
-    return text.split("\n")
-
-
-def leaf_hashes(text: str, depth: int) -> set[int]:
-    """Leaves of the lines of a text that have tokens; only leading tokens are looked at."""
-    out = set()
-    for line in lines_of(text):
-        t = line.split()
-        if t:
-            out.add(_hash((len(t), *tokens_of(" ".join(t[:depth])))))
-    return out
+class Lines:
+    """The lines with tokens of texts laid end to end: row and number of each, leaf, id, tokens; ids of long templates.
 
+    A leaf is a hash of the number of tokens and the leading ones, an id one of all tokens.
+    """
 
-def leaves(text: str, depth: int) -> list[tuple[int, int, list[str]]]:
-    """(line number, leaf hash, tokens) of the lines of a text that have tokens."""
-    out = []
-    for k, line in enumerate(lines_of(text)):
-        t = tokens_of(line)
-        if t:
-            out.append((k, _hash(leaf_of(t, depth)), t))
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, depth: int, constant: float):
+        feed = np.flatnonzero(buf == 10)
+        begins = np.sort(np.concatenate([starts[:-1], feed + 1]))
+        begin, end, count = word_places(buf, np.append(begins, len(buf)))
+        full = np.flatnonzero(count)
+        self.size = count[full]
+        at = begins[full]
+        self.row = np.searchsorted(starts, at, side="right") - 1
+        self.number = np.searchsorted(feed, at) - np.searchsorted(feed, starts[self.row])
+        word = hashes_at(buf, begin, end)
+        self.token = np.where(_varies(buf, begin, end), FIELD, word)
+        self.cut = np.concatenate([[0], np.cumsum(self.size)])
+        leaf = mix(self.size.astype(np.uint64) * _K[0])
+        for k in range(depth):
+            has = self.size > k
+            leaf[has] = mix(leaf[has] ^ (self.token[self.cut[:-1][has] + k] + U((k + 1) * int(_K[1]) % (1 << 64))))
+        self.leaf = leaf
+        self.pos = np.arange(len(self.token)) - np.repeat(self.cut[:-1], self.size)
+        self.id = self._named(self.token)
+        field = np.add.reduceat(self.token == FIELD, self.cut[:-1], dtype=np.int64) if len(full) else np.zeros(0, np.int64)
+        plain = np.where(field <= (1 - constant) * self.size, self.id, mix(self._named(word) ^ _K[3]))
+        self.long = np.flatnonzero(self.size > LONG_WORDS)
+        self.long_id = mix(plain[self.long] ^ _K[2])
+
+    def _named(self, token: np.ndarray) -> np.ndarray:
+        if not len(self.size):
+            return np.zeros(0, np.uint64)
+        place = mix(self.pos.astype(np.uint64) * _K[3] + U(1))
+        return mix(np.add.reduceat(mix(token ^ place), self.cut[:-1]) + self.size.astype(np.uint64))
+
+
+def _varies(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def has(marks: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(marks)])
+        return total[end] > total[begin]
+
+    out = has((buf >= 48) & (buf <= 57))
+    colon = np.zeros(len(buf), bool)
+    if len(buf) > 2:
+        colon[:-2] = (buf[:-2] == 58) & (buf[1:-1] == 47) & (buf[2:] == 47)
+    for k in np.flatnonzero(has((buf == 64) | colon) & ~out).tolist():
+        out[k] = bool(VARIABLE.match(buf[begin[k] : end[k]].tobytes()))
     return out
 
 
-def _blobs(rows, kind: int = 0) -> pa.RecordBatch:
-    rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
-
-
-def _scan(batches: Iterator[pa.RecordBatch], depth: int, n: int, min_docs: int) -> Iterator[pa.RecordBatch]:
-    """(leaf, row key) by bucket of the leaf, min_docs of each leaf a flush: so many show that it recurs, and what else the
-    flush has of it (kind 1) goes by bucket of the row key at once. So no leaf gathers its documents in one task."""
-    few, rest = Sender(["u8", "i8"]), Sender(["i8", "u8"])
-    held: list[tuple[np.ndarray, int]] = []
-    size = 0
+def _parts(batches: Iterator[pa.RecordBatch], depth: int, constant: float) -> Iterator[tuple[Lines, np.ndarray, np.ndarray]]:
+    """Lines of about a megabyte of texts, with doc_id and row_key of the rows they count from; batches: (doc_id, row_key, text)."""
     for b in batches:
-        key = b.column(2).to_pylist()
-        for k, text in zip(key, b.column(1).to_pylist(), strict=True):
-            own = np.fromiter(leaf_hashes(text, depth), np.uint64)
-            held.append((own, k))
-            size += len(own)
-            if size >= FLUSH:
-                yield from _sent(held, few, rest, n, min_docs)
-                held, size = [], 0
-    yield from _sent(held, few, rest, n, min_docs)
-
-
-def _sent(held: list[tuple[np.ndarray, int]], few: Sender, rest: Sender, n: int, min_docs: int) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    leaf, key = _distinct(np.concatenate([x for x, _ in held]), np.repeat(np.array([k for _, k in held], np.int64), [len(x) for x, _ in held]))
-    shown = places(leaf) >= min_docs
-    few.add((leaf[~shown] % np.uint64(n)).astype(np.int32), leaf[~shown], key[~shown])
-    rest.add(_doc_bucket(key[shown], n), key[shown], leaf[shown])
-    yield _blobs(few.rows())
-    yield _blobs(rest.rows(), 1)
-
-
-def _distinct(leaf: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different pairs, sorted."""
-    order = np.lexsort((key, leaf))
-    leaf, key = leaf[order], key[order]
-    once = np.ones(len(leaf), bool)
-    once[1:] = (leaf[1:] != leaf[:-1]) | (key[1:] != key[:-1])
-    return leaf[once], key[once]
-
-
-def _doc_bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return (mix(key.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int32)
-
-
-def _recurring(batches: Iterator[pa.RecordBatch], n: int, min_docs: int) -> Iterator[pa.RecordBatch]:
-    """(row key, leaf) of leaves that enough documents have, by bucket of the row key."""
-    send = Sender(["i8", "u8"])
-    for bucket, group in by_key(batches, "bucket"):
-        few, rest = ([x for g in group for x in g.column("blob").filter(pc.equal(g.column("kind"), kind)).to_pylist()] for kind in (0, 1))
-        if rest:
-            yield _blobs((bucket, x) for x in rest)
-        leaf, key = _distinct(*received(few, ["u8", "i8"]))
-        _, at, count = np.unique(leaf, return_inverse=True, return_counts=True)
-        many = count[at] >= min_docs
-        send.add(_doc_bucket(key[many], n), key[many], leaf[many])
-        if send.full():
-            yield _blobs(send.rows())
-    yield _blobs(send.rows())
-
-
-def _with_bucket(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key = b.column("row_key").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(key, n)), pa.array(np.ones(len(key), np.int32)), pa.array([None] * len(key), pa.binary()), *b.columns], names=["bucket", "kind", "blob", *b.schema.names])
-
-
-def _spelled(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Lines of recurring leaves: (leaf, doc_id, row_key, line, tokens as one string)."""
-    for bucket, group in by_key(batches, "bucket"):
-        known: dict[int, set] | None = None
-        blobs: list[bytes] = []
-        for g in group:
-            kind = g.column("kind").to_numpy()
-            cut = int(np.searchsorted(kind, 1))
-            blobs += g.column("blob").slice(0, cut).to_pylist()
-            if cut == len(kind):
-                continue
-            if known is None:
-                known = {}
-                for k, leaf in zip(*(x.tolist() for x in received(blobs, ["i8", "u8"])), strict=True):
-                    known.setdefault(k, set()).add(leaf)
-            rest = g.slice(cut)
-            out = []
-            for d, k, text in zip(rest.column("doc_id").to_pylist(), rest.column("row_key").to_pylist(), rest.column("text").to_pylist(), strict=True):
-                own = known.get(k)
-                if own:
-                    out += [(h - (1 << 64) if h >> 63 else h, d, k, no, " ".join(t)) for no, h, t in leaves(text, depth) if h in own]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["leaf", "doc_id", "row_key", "line", "tokens"])
-
-
-def long_templates(text: str, constant: float) -> list[tuple[int, int]]:
-    """(line number, template hash) of the lines of over LONG_WORDS words."""
+        doc, key = ids(b.column(0)), b.column(1).to_numpy()
+        buf, starts = flat(b.column(2))
+        for i, j in pieces(starts):
+            yield Lines(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], depth, constant), doc[i:j], key[i:j]
+
+
+class Held:
+    """Lines of a flush: each id once with its tokens, and at most ``most`` of the documents that have it, the smallest."""
+
+    def __init__(self, most: int):
+        self.most, self.tokens, self.parts = most, 0, []
+
+    def add(self, x: Lines, doc: np.ndarray, key: np.ndarray, long: bool, skip: np.ndarray) -> None:
+        if len(skip):
+            own = np.flatnonzero(~np.isin(x.leaf, skip))
+        else:
+            own = np.arange(len(x.leaf))
+        token = (x.token >> U(32)).astype(np.uint32)
+        size, at = x.size[own], x.cut[:-1][own]
+        self.parts.append((x.leaf[own], x.id[own], size, _ragged(token, at, size), doc[x.row[own]], key[x.row[own]], x.number[own]))
+        self.tokens += int(size.sum())
+        if long and len(x.long):
+            none = np.zeros(len(x.long), np.int64)
+            self.parts.append((x.long_id, x.long_id, none, token[:0], doc[x.row[x.long]], key[x.row[x.long]], x.number[x.long]))
+
+    def full(self) -> bool:
+        return self.tokens >= FLUSH_TOKENS or len(self.parts) >= 4096
+
+    def taken(self):
+        """leaf, id, size, tokens of the different lines; then line, doc, key, number of their places."""
+        leaf, name, size, token, doc, key, number = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.tokens = [], 0
+        order = np.lexsort((number, key, doc, name))
+        n, k = name[order], key[order]
+        new = np.ones(len(n), bool)
+        new[1:] = n[1:] != n[:-1]
+        once = np.ones(len(n), bool)
+        once[1:] = new[1:] | (k[1:] != k[:-1])
+        lines = order[new]
+        line = np.cumsum(new) - 1
+        kept = np.flatnonzero(once)
+        kept = kept[places(line[kept]) < self.most]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        place = order[kept]
+        return leaf[lines], name[lines], size[lines], _ragged(token, cut[lines], size[lines]), line[kept], doc[place], key[place], number[place]
+
+
+def _ragged(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[a : a + s] of all (a, s), end to end."""
+    total = int(size.sum())
+    if not total:
+        return values[:0]
+    return values[np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], depth: int, constant: float, n: int, min_docs: int, long: bool, hot) -> Iterator[pa.RecordBatch]:
+    held = Held(min_docs)
+    for x, doc, key in _parts(batches, depth, constant):
+        held.add(x, doc, key, long, hot)
+        if held.full():
+            yield _blobs(held.taken(), n)
+    if held.parts:
+        yield _blobs(held.taken(), n)
+
+
+_KINDS = ("u8", "u8", "u4", "u4", "u4", "i8", "i8", "i4")
+
+
+def _blobs(entries: tuple, n: int) -> pa.RecordBatch:
+    """A blob of lines and places for each bucket of leaves."""
+    leaf, name, size, token, line, doc, key, number = entries
+    bucket = (leaf % U(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    bucket, cut = bucket[order], np.concatenate([[0], np.cumsum(size)])
+    token = _ragged(token, cut[order], size[order])
+    by = np.argsort(back[line], kind="stable")
+    line = back[line][by]
+    a = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+    z = np.append(a[1:], len(bucket))[: len(a)]
+    size, leaf, name, doc, key, number = size[order], leaf[order], name[order], doc[by], key[by], number[by]
+    cut, at = np.concatenate([[0], np.cumsum(size)]), np.searchsorted(line, np.arange(len(bucket) + 1))
     out = []
-    for k, line in enumerate(lines_of(text)):
-        if len(line) > 2 * LONG_WORDS and len(words := line.split()) > LONG_WORDS:
-            t = tokens_of(line)
-            out.append((k, _hash(("long", *(t if 1 - t.count(FIELD) / len(t) >= constant else words)))))
+    for i, j in zip(a.tolist(), z.tolist(), strict=True):
+        columns = (leaf[i:j], name[i:j], size[i:j], token[cut[i] : cut[j]], line[at[i] : at[j]] - i, *(c[at[i] : at[j]] for c in (doc, key, number)))
+        head = np.array([j - i, cut[j] - cut[i], at[j] - at[i]], "u4").tobytes()
+        out.append(head + b"".join(c.astype(k).tobytes() for c, k in zip(columns, _KINDS, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[a].astype(np.int32)), pa.array(out, pa.binary())], names=["bucket", "blob"])
+
+
+def _read(blobs: list[bytes]) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[] for _ in _KINDS]
+    lines = 0
+    for b in blobs:
+        n, tokens, entries = np.frombuffer(b, "u4", 3).tolist()
+        at = 12
+        for column, kind, count in zip(out, _KINDS, (n, n, n, tokens, entries, entries, entries, entries), strict=True):
+            column.append(np.frombuffer(b, kind, count, at))
+            at += column[-1].nbytes
+        out[4][-1] = out[4][-1].astype(np.int64) + lines
+        lines += n
+    return [np.concatenate(x) for x in out]
+
+
+def _recurring(batches: Iterator[pa.RecordBatch], min_docs: int, long_docs: int | None, constant: float) -> Iterator[pa.RecordBatch]:
+    """(id, template, row key and number of its first line) of the lines of each bucket whose template recurs."""
+    for _, group in by_key(batches, "bucket"):
+        leaf, name, size, token, line, doc, key, number = _read([x for g in group for x in g.column("blob").to_pylist()])
+        # lines that several flushes have become one
+        _, first, at = np.unique(name, return_index=True, return_inverse=True)
+        line = at[line]
+        cut = np.concatenate([[0], np.cumsum(size.astype(np.int64))])[first]
+        leaf, name, size = leaf[first], name[first], size[first].astype(np.int64)
+        order = np.lexsort((number, key, doc, line))
+        once = np.ones(len(order), bool)
+        once[1:] = (line[order][1:] != line[order][:-1]) | (key[order][1:] != key[order][:-1])
+        order = order[once]
+        line, doc, key, number = line[order], doc[order], key[order], number[order]
+        # a leaf that fewer documents have holds no template that recurs
+        live = _docs(leaf[line], key) >= min_docs
+        template = np.where(size == 0, name, U(0))
+        own = np.flatnonzero(live & (size[line] > 0))
+        if len(own):
+            some = np.unique(line[own])
+            index = np.full(len(leaf), -1)
+            index[some] = np.arange(len(some))
+            t, s = _ragged(token, cut[some], size[some]), size[some]
+            pos = np.arange(len(t)) - np.repeat(np.concatenate([[0], np.cumsum(s)[:-1]]), s)
+            where = mix(np.repeat(leaf[some], s) ^ mix((pos.astype(np.uint64) << U(32)) | t))
+            # each place of a line brings its document to each of the line's tokens
+            begin = np.concatenate([[0], np.cumsum(s)])[:-1]
+            i = index[line[own]]
+            fixed = _frequent(_ragged(where, begin[i], s[i]), np.repeat(key[own], s[i]), min_docs)
+            spot = np.minimum(np.searchsorted(fixed, where), max(len(fixed) - 1, 0))
+            stands = (fixed[spot] == where if len(fixed) else np.zeros(len(where), bool)) & (t != (FIELD >> U(32)).astype(np.uint32))
+            share = np.add.reduceat(stands, begin, dtype=np.int64) / s
+            shape = mix(np.add.reduceat(np.where(stands, mix(where + _K[1]), U(0)), begin) ^ mix(leaf[some])) | U(1)
+            template[some] = np.where(share >= constant, shape, U(0))
+        # a template's documents and its first line
+        of = template[line]
+        own = np.flatnonzero(of != 0)
+        order = own[np.lexsort((number[own], key[own], doc[own], of[own]))]
+        values, first, at = np.unique(of[order], return_index=True, return_inverse=True)
+        least = np.where(size[line[order[first]]] == 0, long_docs or 0, min_docs)
+        recurs = (_docs(at, key[order])[first] >= least) if len(order) else np.zeros(0, bool)
+        lines, one = np.unique(line[order], return_index=True)
+        j = at[one]
+        lines, j = lines[recurs[j]], j[recurs[j]]
+        yield pa.RecordBatch.from_arrays([pa.array(name[lines].view(np.int64)), pa.array(key[order[first[j]]]), pa.array(number[order[first[j]]].astype(np.int32))], names=["id", "first_key", "first_line"])
+
+
+def _docs(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The number of different documents of each entry's group."""
+    _, g = np.unique(group, return_inverse=True)
+    pair = np.unique(mix(g.astype(np.uint64) * _K[0] ^ mix(key.view(np.uint64))), return_index=True)[1]
+    return np.bincount(g[pair], minlength=int(g.max(initial=-1)) + 1)[g]
+
+
+def _frequent(where: np.ndarray, key: np.ndarray, least: int) -> np.ndarray:
+    """The values, sorted, that so many different documents have."""
+    pair = np.unique(mix(where ^ mix(key.view(np.uint64) + _K[0])), return_index=True)[1]
+    values, count = np.unique(where[pair], return_counts=True)
+    return values[count >= least]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], depth: int, constant: float, short: bool, long: bool) -> Iterator[pa.RecordBatch]:
+    """(id, row_key, line) of every line with tokens, and of long lines under the ids of their templates."""
+    for x, _, key in _parts(batches, depth, constant):
+        for name, at in ((x.id, np.arange(len(x.id))),) * short + ((x.long_id, x.long),) * long:
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(key[x.row[at]]), pa.array(x.number[at].astype(np.int32))], names=["id", "row_key", "line"])
+
+
+def _large_leaves(batches: Iterator[pa.RecordBatch], depth: int, constant: float) -> Iterator[pa.RecordBatch]:
+    """(leaf, different lines) of the leaves that have a thousandth of a flush, or 8 lines, and under a null leaf the lines of all."""
+    held, tokens = [], 0
+
+    def out():
+        leaf, name = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 2
+        pair = leaf[np.unique(mix(leaf ^ mix(name)), return_index=True)[1]]
+        leaf, count = np.unique(pair, return_counts=True)
+        big = count >= max(8, len(pair) // 1000)
+        return pa.RecordBatch.from_arrays([pa.array([None, *leaf[big].view(np.int64).tolist()], pa.int64()), pa.array([len(pair), *count[big].tolist()], pa.int64())], names=["leaf", "lines"])
+
+    for x, _, _ in _parts(batches, depth, constant):
+        held.append((x.leaf, x.id))
+        tokens += len(x.token)
+        if tokens >= FLUSH_TOKENS:
+            yield out()
+            held, tokens = [], 0
+    yield out()
+
+
+def hot_leaves(base: DataFrame, depth: int, constant: float, hot: int) -> np.ndarray:
+    """Leaves of more than ``hot`` lines and a hundred thousandth of all: so many at most reach the driver."""
+    counts = stored(base.mapInArrow(partial(_large_leaves, depth=depth, constant=constant), "leaf long, lines long").groupBy("leaf").agg(F.sum("lines").alias("lines")), tidy=False)
+    total = counts.where("leaf is null").agg(F.sum("lines").alias("n")).head()["n"] or 0
+    found = counts.where("leaf is not null").where(F.col("lines") > max(hot, total // 100_000)).select("leaf").toArrow()
+    discard(counts)
+    return np.sort(found.column("leaf").to_numpy().view(np.uint64))
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], depth: int, constant: float, hot) -> Iterator[pa.RecordBatch]:
+    """Lines of hot leaves with their token hashes."""
+    for x, doc, key in _parts(batches, depth, constant):
+        own = np.flatnonzero(np.isin(x.leaf, hot))
+        token = _ragged((x.token >> U(32)).astype(np.uint32).view(np.int32), x.cut[:-1][own], x.size[own])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(x.size[own])]).astype(np.int32)), pa.array(token))
+        columns = [pa.array(c) for c in (x.leaf[own].view(np.int64), x.id[own].view(np.int64), doc[x.row[own]], key[x.row[own]], x.number[own].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*columns, lists], names=["leaf", "id", "doc_id", "row_key", "line", "tokens"])
+
+
+def _recurring_hot(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
+    """What _recurring() gives, of leaves that no task takes whole: every count is summed up in its tasks before it is exchanged."""
+    own = ["leaf", "pos", "token"]
+    field = int((FIELD >> U(32)).astype(np.uint32).view(np.int32))
+    places_of = lines.groupBy("id", "row_key").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("first"))
+    tokens = lines.select("leaf", "row_key", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != field)
+    kept = tokens.groupBy(*own, "row_key").agg(F.lit(1).alias("one")).groupBy(*own).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select(*own)
+    kept = stored(kept, tidy=False)
+    different = stored(lines.groupBy("leaf", "id").agg(F.first("tokens").alias("tokens")).select("leaf", "id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token")), tidy=False)
+    stands = F.sort_array(F.collect_list(F.struct("pos", "token")))
+    shape = different.join(kept, own).groupBy("leaf", "id").agg(F.first("n").alias("n"), stands.alias("stands"))
+    shape = stored(shape.where(F.size("stands") >= F.lit(constant) * F.col("n")).select("id", F.xxhash64("leaf", "stands").alias("template")), tidy=False)
+    by_doc = places_of.join(shape, "id").groupBy("template", "row_key").agg(F.min("first").alias("first"))
+    recur = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
+    out = shape.join(recur, "template").select("id", F.col("first.row_key").alias("first_key"), F.col("first.line").alias("first_line"))
+    out = stored(out, tidy=False)
+    for t in (kept, different, shape):
+        discard(t)
     return out
 
 
-def _long(batches: Iterator[pa.RecordBatch], constant: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [(h - (1 << 64) if h >> 63 else h, d, k, no) for d, text, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for no, h in long_templates(text, constant)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["template", "doc_id", "row_key", "line"])
-
-
-def long_lines(docs: DataFrame, constant: float = CONSTANT, long_docs: int = LONG_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, lines array<int>): the lines of over LONG_WORDS words that so many documents have, but for the first of each."""
-    placed = stored(_base(docs, id_col, text_col).mapInArrow(partial(_long, constant=constant), "template long, doc_id long, row_key long, line int"), tidy=False)
-    return _but_first(placed.withColumn("least", F.lit(long_docs)), placed)
-
-
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
-    """(row_key, lines array<int>): the lines of each row that a recurring template takes away.
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int | None = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None, hot: int = HOT) -> DataFrame:
+    """(row_key, lines array<int>): the lines of each row that a recurring template takes away. min_docs None: long lines alone.
 
     Nulls, empty tables and repeats: as in line_dedup().
     """
-    base = _base(docs, id_col, text_col)
-    n = buckets_for(docs)
-    found = base.mapInArrow(partial(_scan, depth=depth, n=n, min_docs=min_docs), "bucket int, kind int, blob binary")
-    many = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_recurring, n=n, min_docs=min_docs), "bucket int, kind int, blob binary"))
-    keyed = base.mapInArrow(partial(_with_bucket, n=n), "bucket int, kind int, blob binary, doc_id long, text string, row_key long")
-    met = keyed.unionByName(many, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    lines = stored(met.mapInArrow(partial(_spelled, depth=depth), "leaf long, doc_id long, row_key long, line int, tokens string"))
-    discard(many)
-    # equal lines of a leaf are counted as one row before they are taken apart
-    same = lines.groupBy("leaf", "tokens", F.xxhash64("row_key").alias("k")).agg(F.lit(1).alias("one")).groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("docs"))
-    same = stored(same, tidy=False)
-    parts = same.select("leaf", "tokens", "docs", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
-    # a token is constant at its place if the lines that have it there make up enough documents
-    kept = parts.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs)
-    named = parts.join(kept, ["leaf", "pos", "token"], "left").groupBy("leaf", "tokens").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("have").isNotNull(), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))), lambda x: x["t"]), " ").alias("template"),
-        F.avg(F.when(F.col("have").isNotNull() & (F.col("token") != FIELD), 1.0).otherwise(0.0)).alias("fixed"),
-    )
-    named = stored(named.where(F.col("fixed") >= constant).select("leaf", "tokens", F.xxhash64("leaf", "template").alias("template")), tidy=False)
-    placed = lines.join(named, ["leaf", "tokens"])
-    placed = placed.select("template", "doc_id", "row_key", "line", F.lit(min_docs).alias("least"))
-    if long_docs is not None:
-        found = base.mapInArrow(partial(_long, constant=constant), "template long, doc_id long, row_key long, line int")
-        placed = placed.unionByName(found.withColumn("least", F.lit(long_docs)))
-    placed = stored(placed, tidy=False)
-    return _but_first(placed, lines, same, named, placed)
-
-
-def _but_first(placed: DataFrame, *spent: DataFrame) -> DataFrame:
-    """(row_key, lines array<int>) of the lines (template, doc_id, row_key, line, least) whose template is in ``least`` documents
-    or more, without the first line of each template; the tables in spent are deleted."""
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "row_key", "line")).alias("first")
-    # one row for each template and document before templates are counted: a hot template is summed up in its tasks
-    by_doc = placed.groupBy("template", "least", "row_key").agg(first)
-    recur = by_doc.groupBy("template", "least").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= F.col("least"))
-    recur = stored(recur.select("template", "first"), tidy=False)  # so that both sides of the join are exchanged for it alone, and a hot template can be split
-    gone = placed.join(recur, "template").where((F.col("row_key") != F.col("first.row_key")) | (F.col("line") != F.col("first.line")))
-    out = stored(gone.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("lines")), tidy=False)
-    for t in (*spent, recur):
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    short, long = min_docs is not None, long_docs is not None
+    sort = partial(_gathered, depth=depth, constant=constant, n=buckets_for(docs), min_docs=max(min_docs or 0, long_docs or 0), long=long)
+    if short:
+        large = hot_leaves(base, depth, constant, hot)
+    else:
+        sort = partial(_gathered_long, constant=constant, n=buckets_for(docs), long_docs=long_docs)
+        large = np.zeros(0, np.uint64)
+    found = base.mapInArrow(partial(sort, hot=large) if short else sort, "bucket int, blob binary")
+    judge = partial(_recurring, min_docs=min_docs or 0, long_docs=long_docs, constant=constant)
+    recur = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "id long, first_key long, first_line int"))
+    spent = [recur]
+    if len(large):
+        sent = "leaf long, id long, doc_id long, row_key long, line int, tokens array<int>"
+        lines = stored(base.mapInArrow(partial(_spelled, depth=depth, constant=constant, hot=large), sent), tidy=False)
+        more = _recurring_hot(lines, min_docs, constant)
+        discard(lines)
+        spent.append(more)
+        recur = recur.unionByName(more)
+    placed = base.mapInArrow(partial(_placed, depth=depth, constant=constant, short=short, long=long), "id long, row_key long, line int")
+    gone = placed.join(recur, "id").where((F.col("row_key") != F.col("first_key")) | (F.col("line") != F.col("first_line")))
+    out = stored(gone.groupBy("row_key").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    for t in spent:
         discard(t)
     return out
 
 
-def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("row_key", F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "text"))
+def _gathered_long(batches: Iterator[pa.RecordBatch], constant: float, n: int, long_docs: int) -> Iterator[pa.RecordBatch]:
+    held = Held(long_docs)
+    nothing = np.zeros(0, np.int64)
+    for x, doc, key in _parts(batches, 1, constant):
+        if len(x.long):
+            at = x.row[x.long]
+            held.parts.append((x.long_id, x.long_id, np.zeros(len(at), np.int64), nothing.astype(np.uint32), doc[at], key[at], x.number[x.long]))
+        if held.full():
+            yield _blobs(held.taken(), n)
+    if held.parts:
+        yield _blobs(held.taken(), n)
 
 
-def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text", long_docs: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): texts less the lines of recurring templates, the first of which stays. With long_docs,
     lines of over LONG_WORDS words need only so many documents.
 
-    Lines end at line feeds; blank lines are never dropped. A null text stays null, with no lines; an empty one is one blank
-    line. Null ids come last. Repeated rows are one document: they count once, and they lose the same lines. Other columns are
-    ignored. An empty table gives no rows. Texts of any length are taken whole.
+    Lines end at line feeds, tokens at ASCII blanks; blank lines are never dropped. A null text stays null, with no lines; an empty
+    one is one blank line. Null ids come last. Repeated rows are one document: they count once, and they lose the same lines.
+    Other columns are ignored, whatever their names. An empty table gives no rows. Texts and lines of any length are taken whole.
     """
-    gone = recurring_lines(docs, depth, min_docs, constant, id_col, text_col, long_docs)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = base.withColumn("row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.coalesce("text", F.lit(""))))
-    out = keyed.join(gone, "row_key", "left")
-    lines = F.split("text", "\n", -1)
-    left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("lines", i)), "\n"))
-    return out.select("doc_id", left.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped")).withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.when(F.col("n_dropped") < 0, 0).otherwise(F.col("n_dropped")))
+    gone = recurring_lines(docs, depth, min_docs, constant, id_col, text_col, long_docs, hot)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
+    out = base.join(gone, "row_key", "left")
+    lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).otherwise(0)
+    return out.select("doc_id", _left("text", "lines").alias("text"), lines.cast("long").alias("n_lines"), F.coalesce(F.size(F.col("lines")), F.lit(0)).cast("long").alias("n_dropped")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
+
+
+def _left(text: str, gone: str):
+    """The text without the lines of these numbers."""
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Lines dropped and a digest of the text kept, of every document. Nulls, empty texts, repeats and ties: as in line_dedup()."""
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), long_docs=LONG_DOCS)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -275,22 +410,27 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: lines of recurring templates go, but for the first of each; n_chars follows where it is a column.
 
-    Long lines in a few documents are left to drop_long_lines(): taken here, copies would no longer look like copies."""
+    Long lines in a few documents are left to drop_long_lines(): taken here, copies would no longer look like copies. Nulls,
+    empty texts and repeats: as in line_dedup(). No row goes; other columns come along, whatever their names."""
     return _without(docs, recurring_lines(docs))
 
 
 def drop_long_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline step behind near_duplicates: lines of over LONG_WORDS words in LONG_DOCS documents or more go, but for the first."""
-    return _without(docs, long_lines(docs))
+    """Pipeline step behind near_duplicates: lines of over LONG_WORDS words in LONG_DOCS documents or more go, but for the first.
+    Nulls, repeats and other columns: as in drop_repeated_lines()."""
+    return _without(docs, recurring_lines(docs, min_docs=None, long_docs=LONG_DOCS))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.withColumnsRenamed({"row_key": "__key", "lines": "__gone"})
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.join(gone, key == F.col("__key"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    whole = docs.select(row_key("doc_id", "text").alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = whole.join(gone, "row_key", "left").select("row", "lines", F.col("row.text").alias("text"))
+    out = out.select("row", "lines", _left("text", "lines").alias("text"))
+    kind = dict(docs.dtypes)
+
+    def now(c: str):
+        if c == "text":
+            return F.col("text")
+        old = F.col("row").getField(c)
+        return F.when(F.col("lines").isNull(), old).otherwise(F.length("text").cast(kind[c])) if c == "n_chars" else old
+
+    return out.select(*(now(c).alias(c) for c in docs.columns))
