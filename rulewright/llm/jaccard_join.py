@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FLUSH, NULL_ID, U, Sender, buckets_for, by_key, connected, discard, flat, mix, pieces, places, received, row_key, stored, word_hashes
+from .common import FLUSH, NULL_ID, U, Sender, buckets_for, by_key, connected, discard, flat, mix, pieces, places, received, release, row_key, stored, word_hashes
 
 #: Numbers that make the token orders differ: fixed values.
 ORDERS = (0, 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)
@@ -43,6 +43,8 @@ BITS = 2048
 SMALL = 12
 #: Nodes of a larger group that its pivot is made from, about.
 VOTERS = 64
+#: Tokens of all pivots up to which they are broadcast, 8 bytes each; beyond, they are joined by exchange.
+PIVOTS = 1 << 21
 #: Tokens that a verifying task holds of nodes it may meet again.
 KNOWN = 1 << 21
 
@@ -381,6 +383,7 @@ def _merge(groups: DataFrame, texts: DataFrame, size: int, percent: int, measure
         for t in (open_, large, links, label, old):
             if t is not None:
                 discard(t)
+        release(label.sparkSession)  # what the round has exchanged
         label, first = new, False
         if near is None:
             for t in spent:
@@ -437,7 +440,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         shared &= F.arrays_overlap(f"{c}_a", f"{c}_b")
     # exact: of both sizes together, at least percent / (100 + percent) are common, so no more than the rest differ
     differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (s, x) -> s + x)")
-    pairs = stored(pairs.where(shared & (differ * (100 + percent) <= F.col("sizes") * (100 - percent))).select("a", "b"), tidy=False)
+    pairs = stored(pairs.where(shared & (differ * (100 + percent) <= F.col("sizes") * (100 - percent))).select("a", "b"))
     for k in "ab":
         full = (pairs if k == "a" else full).join(texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")), k)
     links = stored(full.sortWithinPartitions("b").mapInArrow(partial(_verify, size=size, percent=percent), "a long, b long"))
@@ -450,10 +453,12 @@ def _with_pivots(large: DataFrame, texts: DataFrame, size: int, measure) -> Data
     sizes = large.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     voters = large.join(sizes, "g").where(F.pmod(F.xxhash64("node", F.lit(11)), "k") < VOTERS).select("g", "node")
     pivots = voters.join(text, "node").select("g", "text").repartition("g").sortWithinPartitions("g").mapInArrow(partial(_pivots, size=size), "g long, pivot array<long>")
-    pivots = stored(pivots, tidy=False)
+    made = pivots = stored(pivots, tidy=False)
+    if (pivots.agg(F.sum(F.size("pivot"))).head()[0] or 0) <= PIVOTS:
+        pivots = F.broadcast(pivots)
     rows = large.join(text, "node").join(pivots, "g", "left").select("g", "node", "n", "text", "pivot")
     rows = stored(rows.mapInArrow(measure, "g long, node long, n long, both long, of long, outside array<long>"), tidy=False)
-    discard(pivots)
+    discard(made)
     return rows
 
 
