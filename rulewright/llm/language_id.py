@@ -11,16 +11,15 @@ the driver); predictions read every text whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import U, flat, mix, pieces
 
@@ -35,7 +34,6 @@ FAMILIES = {
 }
 BITS = 13
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family_of(lang: str) -> str:
@@ -43,17 +41,19 @@ def family_of(lang: str) -> str:
 
 
 def features(buf: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each text: hashed feature numbers in ascending order and their weights."""
+    """Of each text: hashed feature numbers in ascending order and their weights. Two blanks stand behind each text, so that
+    none depends on its neighbours."""
     b = np.where((buf >= 65) & (buf <= 90), buf + 32, buf)
     other = (b < 97) | ((b > 122) & (b < 128))
-    b = np.where(other, 32, b).astype(np.uint64)
-    pad = np.concatenate([b, np.full(2, 32, np.uint64)])
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    pad = np.full(len(b) + 2 * len(starts), 32, np.uint64)
+    pad[np.arange(len(b)) + 2 * row] = np.where(other, 32, b)
     tri = pad[:-2] << U(16) | pad[1:-1] << U(8) | pad[2:]
     number = (mix(tri + U(1)) >> U(64 - BITS)).astype(np.int64)
     blank = (pad[:-2] == 32) & (pad[1:-1] == 32)
-    for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        own = number[a:z][~blank[a:z]]
-        count = np.bincount(own, minlength=1 << BITS)
+    for r, (a, z) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        own = slice(a + 2 * r, z + 2 * r)
+        count = np.bincount(number[own][~blank[own]], minlength=1 << BITS)
         at = np.flatnonzero(count)
         w = np.sqrt(count[at])
         yield at, w / (np.sqrt((w * w).sum()) or 1.0)
@@ -126,19 +126,19 @@ def _chance(margin: float) -> float:
     return float(1 / (1 + np.exp(-2 * np.clip(margin, -30, 30))))
 
 
+def _judged(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[str, float]]:
+    """Language and score of each row of a batch with columns text and letter."""
+    letter = batch.column("letter").to_pylist()
+    buf, starts = flat(batch.column("text"))
+    for i, j in pieces(starts):
+        for k, (at, w) in enumerate(features(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i]), i):
+            yield model.predict(at, w) if letter[k] and model.langs else (UNKNOWN, 0.0)
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    model = model.value
     for b in batches:
-        text = pc.fill_null(b.column(1), "")
-        letter = [bool(_LETTER.search(x.as_py())) for x in text]
-        buf, starts = flat(text)
-        lang, score = [], []
-        for i, j in pieces(starts):
-            for k, (at, w) in enumerate(features(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i]), i):
-                v, p = model.predict(at, w) if letter[k] and model.langs else (UNKNOWN, 0.0)
-                lang.append(v)
-                score.append(p)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        lang, score = zip(*_judged(b, model.value), strict=True) if len(b) else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
 def train(labelled: DataFrame, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -158,12 +158,19 @@ def train(labelled: DataFrame, per_language: int = 500, id_col: str = "doc_id",
     return Model(x, [r["lang"] for r in got])
 
 
+def _text(column: str) -> list:
+    """The text, and whether it has a letter."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return [text.alias("text"), text.rlike(r"\p{L}").alias("letter")]
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row. lang_pred is ``und`` and score 0 where the text is null or has no
-    letter, or where nothing could be learned. Repeated rows give repeated, equal rows; other columns are ignored."""
+    letter, or where nothing could be learned. A row's result depends on its text alone: equal texts, repeated rows among them,
+    get equal ones. Texts of any length are taken whole, other columns are ignored, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     held = held_out if held_out is not None else F.lit(False)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
+    base = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), *_text(text_col))
     kind = dict(base.dtypes)["doc_id"]
     return base.mapInArrow(partial(_predict, model=sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
@@ -174,28 +181,30 @@ def held_out(column):
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that the contract lets. Nulls, empty texts and repeats: as in identify()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = held_out(F.col("doc_id"))
     return identify(docs, train(docs.where(~held)), held_out=held)
 
 
-def drop_unidentified(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents go whose text has no letters, or whose most likely language is under ``least`` likely."""
-    held = held_out(F.col("doc_id"))
-    model = train(docs.where(~held))
+#: Scores of texts that are kept in the pipeline. A score is the product of two chances that are a half at least, so this takes
+#: texts out for which both levels are all but undecided.
+LEAST = 0.3
+
+
+def drop_unidentified(spark, docs: DataFrame, sf_dir: str, least: float = LEAST) -> DataFrame:
+    """Pipeline stage: documents go whose text is null or has no letters, or whose most likely language scores under ``least``.
+
+    Where no language could be learned all texts with letters stay. Repeated rows share their fate; null ids and languages are
+    no reason to go; other columns come along, whatever their names. An empty table stays empty."""
+    model = train(docs.where(~held_out(F.col("doc_id"))))
     sent = spark.sparkContext.broadcast(model)
-    text = docs.columns.index("text")
-    return docs.mapInArrow(partial(_keep, model=sent, text=text, least=least), docs.schema)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_text("text"))
+    return whole.mapInArrow(partial(_keep, model=sent, least=least), StructType([StructField("row", docs.schema)])).select("row.*")
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model, text: int, least: float) -> Iterator[pa.RecordBatch]:
-    model = model.value
+def _keep(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        column = pc.fill_null(b.column(text), "")
-        letter = [bool(_LETTER.search(x.as_py())) for x in column]
-        buf, starts = flat(column)
-        keep = []
-        for i, j in pieces(starts):
-            for k, (at, w) in enumerate(features(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i]), i):
-                keep.append(letter[k] and (not model.langs or model.predict(at, w)[1] >= least))
-        yield b.filter(pa.array(keep, pa.bool_()))
+        letter = b.column("letter").to_pylist()
+        keep = [have and (not model.value.langs or score >= least) for have, (_, score) in zip(letter, _judged(b, model.value), strict=True)]
+        yield b.select(["row"]).filter(pa.array(keep, pa.bool_()))
