@@ -31,8 +31,9 @@ ASSISTANT = "assistant"
 _ESCAPE = re.compile(r"\\|###|</turn>")
 _ESCAPE_ROLE = re.compile(r"\\|###|</turn>|:")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:)")
-#: Characters that the encoder takes at once; longer texts are encoded in parts, which decode to the same text.
+#: Characters from which on a text is cut, at the next place where the pattern cuts it as well: its ids are those of the whole.
 PART = 20_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 LIMIT = 64 << 20
 
 
@@ -65,7 +66,13 @@ class Tokens:
         return cls._made[key]
 
     def encode(self, text: str) -> list[int]:
-        return [t for a in range(0, len(text), PART) for t in self.encoder.encode_ordinary(text[a : a + PART])]
+        out, a = [], 0
+        while a < len(text):
+            cut = _CUT.search(text, a + PART) if len(text) > a + PART else None
+            z = cut.start() if cut else len(text)
+            out += self.encoder.encode_ordinary(text[a:z])
+            a = z
+        return out
 
     def decode(self, ids) -> str:
         """Ordinary ids only; parts that were cut between characters join up, since bytes are joined first."""
@@ -182,6 +189,7 @@ EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Digests of all conversations as they are read back from their tokens. Nulls, ties and repeats: as in format_turns()."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
     return digests(format_turns(turns)).drop("n_tokens")

@@ -19,7 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']?([^\"'\s>]+)"
 DAMPING = 0.85
-ROUNDS = 12
+#: Propagation ends when ranks move by less than CLOSE in all, which DAMPING brings about in 60 rounds; ROUNDS bounds them.
+ROUNDS = 100
+CLOSE = 1e-4
 
 
 def host_of(url: Column) -> Column:
@@ -41,22 +43,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): links between different hosts, from (host, html); a page's links to one host count once."""
-    links = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), lambda u: u.contains("//")), lambda u: host_of(F.regexp_replace(u, r"^//", "http://"))))).alias("dst"))
+    """(src, dst, weight): links between different hosts, from (host, html); a page's links to one host count once. Only a link
+    that starts with a scheme and ``//``, or with ``//``, goes to another host."""
+    links = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), lambda u: u.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//")), lambda u: host_of(F.regexp_replace(u, r"^//", "http://"))))).alias("dst"))
     return links.where("dst <> '' and host <> '' and dst <> host").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def propagate(edges: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from hosts (host, good, bad: seed mass, each summing to 1 or 0) and weighted edges.
 
-    Mass at hosts without links onward goes back to the seeds, so that both keep their sums.
+    Mass at hosts without links onward goes back to the seeds, so that both keep their sums. Rounds end when ranks have settled;
+    if they have not within ``rounds``, that is an error.
     """
     out, into = edges.groupBy("src").agg(F.sum("weight").alias("o")), edges.groupBy("dst").agg(F.sum("weight").alias("i"))
     both = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("o")).alias("forth"), (F.col("weight") / F.col("i")).alias("back"))
     both = stored(both, tidy=False)
     rank = stored(hosts.select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), tidy=False)
     empty = both.limit(1).count() == 0
-    for _ in range(0 if empty else rounds):
+    if empty:
+        return rank.select("host", "trust", "distrust")
+    for _ in range(rounds):
         onward = both.join(rank, both.src == rank.host).groupBy(F.col("dst").alias("h")).agg(F.sum(F.col("trust") * F.col("forth")).alias("t"))
         against = both.join(rank, both.dst == rank.host).groupBy(F.col("src").alias("g")).agg(F.sum(F.col("distrust") * F.col("back")).alias("d"))
         new = rank.join(onward, rank.host == onward.h, "left").join(against, rank.host == against.g, "left")
@@ -65,8 +71,15 @@ def propagate(edges: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping:
         s = new.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).head()
         back = [1 - (s["t"] or 0.0), 1 - (s["d"] or 0.0)]
         old, rank = rank, stored(new.select("host", "good", "bad", (F.col("t") + back[0] * F.col("good")).alias("trust"), (F.col("d") + back[1] * F.col("bad")).alias("distrust")), tidy=False)
+        was = old.select(F.col("host").alias("h"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        moved = rank.join(was, F.col("host") == F.col("h")).agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d"))).alias("m")).head()["m"] or 0.0
         discard(old)
         discard(new)
+        if moved < CLOSE:
+            break
+    else:
+        raise ValueError(f"ranks have not settled within {rounds} rounds")
+    discard(both)
     return rank.select("host", "trust", "distrust")
 
 
@@ -95,4 +108,5 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: s
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page. Nulls, repeats, ties and empty tables: as in filter_urls()."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
