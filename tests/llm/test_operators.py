@@ -93,11 +93,13 @@ def test_decontamination(spark, docs):
     assert decontaminate.decontaminate(docs, bench).count() == docs.count() - 2
     cut = decontaminate.decontaminate(docs, bench, "spans").where("doc_id = 5").head()
     assert cut.text.split() == texts[0].split()[:5] + texts[0].split()[25:]
+    odd = spark.createDataFrame([(1, "(Keep, this!)  One--TWO three?\n and  Ünd THAT."), (2, None)], "doc_id long, text string")
+    assert [r.text for r in decontaminate.decontaminate(odd, bench, "spans").orderBy("doc_id").collect()] == ["(Keep, this!)  and  Ünd THAT.", None]
     assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty(docs), bench).count() == 0
 
 
-def test_mixing(docs):
+def test_mixing(spark, docs):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == docs.count()
     sizes = {}
@@ -116,8 +118,20 @@ def test_mixing(docs):
     for s in order:
         want = 2 * sizes[s] if s in capped else weight[s] * rate
         own = [r for r in rows if r.source == s]
-        assert all(abs(r.target - want) < 1e-6 for r in own) and abs(sum(r.taken for r in own) - want) <= 1
+        assert all(abs(r.target - want) < 1e-6 for r in own) and abs(sum(r.taken for r in own) - want) <= 2
     assert mixing.mix_sources(empty(docs)).count() == 0
+    # the mix itself: rows of copies hold the words taken
+    clash = docs.withColumn("copy", F.lit("c")).withColumn("key", F.lit(1))
+    mix = mixing.mixed(spark, clash, "")
+    assert mix.columns == [*clash.columns, "mix_copy"]
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    got = {}
+    for r in mix.collect():
+        got[r.source] = got.get(r.source, 0) + words(r.text)
+    want = {}
+    for r in rows:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert got == {k: v for k, v in want.items() if v} and mixing.mixed(spark, empty(docs), "").count() == 0
 
 
 def test_language_id(spark):
@@ -130,6 +144,22 @@ def test_language_id(spark):
     own = [(got[r.doc_id].lang_pred == r.lang) for r in df.where("doc_id < 900").collect() if got[r.doc_id].held_out]
     assert len(own) > 20 and sum(own) / len(own) > 0.95
     assert language_id.identify(df, language_id.train(df.where("false"))).where("lang_pred <> 'und'").count() == 0
+    # a score depends on the row's text alone
+    model, twice = language_id.train(df), df.unionByName(df)
+    rows = [sorted(map(str, language_id.identify(x, model).collect())) for x in (twice.coalesce(1), twice.repartition(7), twice.orderBy(F.desc("text")).coalesce(1))]
+    assert rows[0] == rows[1] == rows[2] and all(a == b for a, b in zip(rows[0][::2], rows[0][1::2], strict=True))
+    assert language_id.identify(empty(df), model).count() == 0
+    # features by hand
+    text = "Ab ab, c"
+    count = {}
+    padded = "ab ab  c  "
+    for k in range(len(text)):
+        tri = padded[k : k + 3].encode()
+        if tri[:2] != b"  ":
+            h = int(language_id.mix(np.array([(tri[0] << 16 | tri[1] << 8 | tri[2]) + 1], np.uint64))[0]) >> (64 - language_id.BITS)
+            count[h] = count.get(h, 0) + 1
+    (at, w), _ = language_id.features(np.frombuffer(text.encode() + b"next", np.uint8), np.array([0, 8, 12]))
+    assert at.tolist() == sorted(count) and np.allclose(w**2, [count[k] / sum(count.values()) for k in sorted(count)])
 
 
 def test_lm_score(docs):
@@ -172,34 +202,40 @@ def test_lm_score_counts_every_word(spark, monkeypatch):
     assert np.allclose(*scores, atol=1e-3)
 
 
+def brute_tokens(line):
+    vary = r"[^A-Za-z0-9_]*(?:[A-Za-z]+://\S+|\S+@\S+\.\S+)[^A-Za-z0-9_]*"
+    return ["<*>" if re.search("[0-9]", w) or re.fullmatch(vary, w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+
+
 def brute_lines(rows, min_docs=5):
     docs = {(d if d is not None else 1 << 62, t or "") for d, t in rows}
-    lines, leaf = [], {}
-    for d, t in docs:
-        for no, h, tok in line_templates.leaves(t, line_templates.DEPTH):
-            lines.append((d, t, no, h, tuple(tok)))
-            leaf.setdefault(h, set()).add((d, t))
+    lines = [(d, t, no, tok) for d, t in docs for no, line in enumerate(t.split("\n")) if (tok := brute_tokens(line))]
     at, temp = {}, {}
-    lines = [x for x in lines if len(leaf[x[3]]) >= min_docs]
-    for d, t, _, h, tok in lines:
+    leaf = lambda tok: (len(tok), *tok[: line_templates.DEPTH])
+    for d, t, _, tok in lines:
         for p, w in enumerate(tok):
-            at.setdefault((h, p, w), set()).add((tok, d, t))
-    for d, t, no, h, tok in lines:
-        name = tuple(w if len(at[h, p, w]) >= min_docs else line_templates.FIELD for p, w in enumerate(tok))
-        if sum(w != line_templates.FIELD for w in name) / len(name) >= line_templates.CONSTANT:
-            temp.setdefault((h, name), []).append((d, t, no))
+            at.setdefault((leaf(tok), p, w), set()).add((d, t))
+    for d, t, no, tok in lines:
+        name = tuple(w if len(at[leaf(tok), p, w]) >= min_docs else "<*>" for p, w in enumerate(tok))
+        if sum(w != "<*>" for w in name) / len(name) >= line_templates.CONSTANT:
+            temp.setdefault((leaf(tok), name), []).append((d, t, no))
     gone = set()
     for v in temp.values():
         if len({x[:2] for x in v}) >= min_docs:
-            gone |= set(sorted(v)[1:])
+            gone |= set(sorted(v, key=lambda x: (x[0], x[2]))[1:])
     return {(d, t): "\n".join(x for no, x in enumerate(t.split("\n")) if (d, t, no) not in gone) for d, t in docs}
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("hot", [line_templates.HOT, 0])
+def test_line_dedup(spark, docs, hot):
+    """Leaves in buckets, and counted by Spark as those of very many lines are."""
+    more = [(500 + i, f"see http://a.b/{'x' * i} or me@x.org {WORDS[i % 3]}\nmany words stand here {WORDS[i]}\n\n" + "same line\n" * (i % 4)) for i in range(24)]
+    more += [(600, "y " * 60_000), (601, "\n" * 50), (602, "z\u00a0z \u3000 z\x0bz")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute_lines(rows)
-    got = line_templates.line_dedup(docs).collect()
-    assert sum(r.n_dropped for r in got) > 5 and len(got) == len(rows)
+    got = line_templates.line_dedup(docs, hot=hot).collect()
+    assert sum(r.n_dropped for r in got) > 30 and len(got) == len(rows)
     assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(d), want[d if d is not None else 1 << 62, t or ""]) for d, t in rows)
     assert line_templates.line_dedup(empty(docs)).count() == 0
 
@@ -228,11 +264,11 @@ def test_url_filter(spark):
     edges, seeds = {("e.info", "a.net"), ("a.net", "c.info"), ("b.example.net", "d.info")}, {"b.example.net": 0.5, "x.org": 0.5}
     hosts = {r.host for r in got.values() if r.host}
     rank = {h: seeds.get(h, 0.0) for h in hosts}
-    for _ in range(url_filter.ROUNDS):
+    for _ in range(80):
         new = {h: 0.85 * sum(rank[a] for a, b in edges if b == h) for h in hosts}
         back = 1 - sum(new.values())
         rank = {h: new[h] + back * seeds.get(h, 0.0) for h in hosts}
-    assert all(abs(r.trust - rank[r.host]) < 1e-9 for r in got.values() if r.host)
+    assert all(abs(r.trust - rank[r.host]) < 1e-4 for r in got.values() if r.host)
 
 
 def test_media(spark):
@@ -255,44 +291,38 @@ def test_chat(spark):
     turns = "user\na\\b ### c </turn> : \nassistant\n\nassistant\n\\### x\n"
     assert got[1].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest() and got[1].loss_chars == 6
     assert got[1].loss_sha256 == hashlib.sha256(b"\\### x").hexdigest() and got[2].n_turns == 1 and got[None].loss_chars == 30000
+    long = " ".join(["it's", "x" * 50, "12 34", "  ", "\u00e9t\u00e9!"] * 2000)
+    tokens = chat_format.Tokens.of(chat_format.vocabulary(spark, chat_format.TOKENIZER))
+    assert tokens.encode(long) == tokens.encoder.encode_ordinary(long) and len(long) > 5 * chat_format.PART
     for t in ("", "\\", "\\\\###</turn>", "###\\", "\\n :"):
         assert chat_format.unescape(chat_format.escape(t)) == t
     assert chat_format.digests(chat_format.format_turns(df.where("false"))).count() == 0
 
 
 def test_pipeline(spark, tmp_path, docs):
+    """Every stage on nulls, repeated rows, empty and long texts and columns of clashing names, and on an empty table."""
     import corpus_pipeline as p
 
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).drop("row_key", "node", "bucket").withColumn("lang", F.coalesce("lang", F.lit("en")))
-    own.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, prose(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    cols = own.columns
-    now = own
+    bench = spark.createDataFrame([(1, prose(20)), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = docs.withColumn("key", F.lit(1)).withColumn("row", F.lit(2)).withColumn("lines", F.lit(3)).withColumn("letter", F.lit(4))
+    now, kept = odd, {}
     for name, stage in p.STAGES:
+        none = stage(spark, empty(now), str(tmp_path))
         now = stage(spark, now, str(tmp_path))
+        assert none.count() == 0 and none.columns == now.columns
         now.write.parquet(f"{tmp_path}/{name}")
         now = spark.read.parquet(f"{tmp_path}/{name}")
-        if name != "mix_sources":
-            assert now.columns == cols
-    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/language_id").collect()} >= set(range(3, 24)) - {4}
+        kept[name] = [(r.doc_id, r.text) for r in now.collect()]
+        assert now.columns == odd.columns + (["copy"] if name == "mix_sources" else [])
+    start = [(r.doc_id, r.text) for r in odd.collect()]
+    # stages by brute force, each on what the one before kept
+    assert sorted(kept["language_id"], key=str) == sorted([x for x in start if re.search(r"[^\W\d_]", x[1] or "")], key=str)
+    lines = brute_lines(kept["language_id"])
+    assert sorted(kept["line_dedup"], key=str) == sorted([(d, lines[d if d is not None else 1 << 62, t]) for d, t in kept["language_id"]], key=str)
+    classes = brute_classes(kept["line_dedup"])
+    shingled = {(c if c is not None else "none") for _, n, c in classes if n}
+    assert len(kept["near_duplicates"]) == len(shingled) + len({(d, t) for (d, t), (_, n, _) in zip(kept["line_dedup"], classes, strict=True) if not n})
+    assert kept["decontaminate"] and sorted(kept["decontaminate"], key=str) == sorted(kept["near_duplicates"], key=str)
+    odd.drop("copy").write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).count() == now.count()
-
-
-def test_jaccard_classes_in_large_groups(spark, monkeypatch):
-    """Families of near copies, cut ones among them, and unrelated texts with a common head, in groups that get pivots."""
-    own = random.Random(3)
-    words = [f"w{i}" for i in range(4000)]
-    rows = []
-    for _ in range(2):
-        base = own.choices(words, k=90)
-        for _ in range(45):
-            t = list(base)
-            for _ in range(own.randint(0, 12)):
-                t[own.randrange(90)] = own.choice(words)
-            rows.append((len(rows), " ".join(t[: own.randint(55, 90)] if own.random() < 0.3 else t)))
-    head = own.choices(words, k=12)
-    rows += [(len(rows) + k, " ".join(head + own.choices(words, k=own.randint(0, 30)))) for k in range(50)]
-    monkeypatch.setattr(jaccard_join, "SMALL", 4)
-    monkeypatch.setattr(jaccard_join, "COMMON", 4)
-    got = [tuple(r) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got) == sorted(brute_classes(rows))
