@@ -329,25 +329,60 @@ def _suffixes(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[
         _, which, sharing = np.unique(np.array(share, np.int64), return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(sharing[which] > 1)
         whole = np.frombuffer(b"".join(texts), np.uint8)
-        part = np.concatenate([np.arange(begin[u], begin[u + 1]) for u in mixed]) if len(mixed) else np.zeros(0, np.int64)
+        part = _ranges(begin[mixed], lengths[mixed])
         hit = np.zeros(len(whole), bool)
-        hit[part] = repeats(whole[part], np.concatenate([[0], np.cumsum(lengths[mixed])]), lowest[mixed], size)
-        flags = np.concatenate([[0], np.cumsum(hit)])
-        for u, m in enumerate(member):
-            later = m[m[:, 0] > lowest[u]]
-            if len(later):
-                send.add(_bucket(later[:, 0], n), later[:, 0], later[:, 1], later[:, 2], later[:, 2] + lengths[u])
-            if flags[begin[u + 1]] > flags[begin[u]]:
-                first = m[m[:, 0] == lowest[u]]
-                h = np.concatenate([[False], hit[begin[u] : begin[u + 1]], [False]])
-                a, z = np.flatnonzero(h[1:] & ~h[:-1]), np.flatnonzero(h[:-1] & ~h[1:]) - 1
-                for x, y in zip(a.tolist(), z.tolist(), strict=True):
-                    send.add(_bucket(first[:, 0], n), first[:, 0], first[:, 1], first[:, 2] + x, first[:, 2] + y + size)
-            if send.full():
-                yield _blobs(send.rows())
+        hit[part] = _repeats_of(whole[part], lengths[mixed], lowest[mixed], size)
+        # places of a stretch in other documents than its first go whole, those in its first where a window repeats
+        of = np.repeat(np.arange(len(member)), [len(m) for m in member])
+        doc, key, start = np.concatenate(member).T
+        late = doc > lowest[of]
+        own = np.flatnonzero(~late)
+        edge = np.zeros(len(whole) + 1, bool)
+        edge[begin] = True
+        x = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
+        y = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
+        u = np.searchsorted(begin, x, side="right") - 1
+        count = np.bincount(of[own], minlength=len(member))
+        row = own[_ranges((np.cumsum(count) - count)[u], count[u])]
+        x, y = (np.repeat(v - begin[u], count[u]) for v in (x, y))
+        out = [np.concatenate(c) for c in zip((doc[late], key[late], start[late], start[late] + lengths[of[late]]), (doc[row], key[row], start[row] + x, start[row] + y + size), strict=True)]
+        send.add(_bucket(out[0], n), *out)
+        if send.full():
+            yield _blobs(send.rows())
     yield _blobs(send.rows())
 
 
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from a on, s of them, of all (a, s), end to end."""
+    before = np.cumsum(size) - size
+    return np.repeat(at - before, size) + np.arange(int(size.sum()))
+
+
+def _repeats_of(text: np.ndarray, lengths: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """repeats() of stretches of these lengths. Only what windows cover whose hash several owners have is sorted: others cannot repeat."""
+    hit = np.zeros(len(text), bool)
+    if len(text) < size:
+        return hit
+    h = rolling(text, size)
+    end = np.cumsum(lengths)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.flatnonzero(np.arange(len(h)) + size <= end[of[: len(h)]])
+    order = at[np.argsort(h[at])]
+    cut = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])[: len(order)])
+    if not len(cut):
+        return hit
+    own = owner[of[order]]
+    several = np.repeat(np.minimum.reduceat(own, cut) < np.maximum.reduceat(own, cut), np.diff(np.append(cut, len(order))))
+    starts, ends = (np.bincount(order[several] + k, minlength=len(text) + 1) for k in (0, size))
+    depth = starts - ends
+    kept = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+    new = np.ones(len(kept), bool)
+    new[1:] = (np.diff(kept) > 1) | (of[kept[1:]] != of[kept[:-1]])
+    first = np.flatnonzero(new)
+    hit[kept] = repeats(text[kept], np.append(first, len(kept)), owner[of[kept[first]]], size)
+    return hit
+
+
 def repeats(text: np.ndarray, begin: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """Which positions of stretches laid end to end start a window that a stretch of a smaller owner also has."""
     hit = np.zeros(len(text), bool)
@@ -426,6 +461,7 @@ def _met(df: DataFrame) -> DataFrame:
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What goes of every document, and a digest of the rest. Nulls, short and empty texts, repeats and ties: as in suffix_dedup()."""
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
