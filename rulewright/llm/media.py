@@ -200,13 +200,16 @@ _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "bi
 def resolve(sequences: DataFrame, store: DataFrame, function: Callable | None = None, schema: str = "media binary") -> DataFrame:
     """(id, position, caption, digest, ...) of every media reference, with what ``function`` makes of its stored payload.
 
-    Without a function the stored bytes themselves are joined. References without a payload in the store stay, with nulls.
+    Without a function the stored bytes themselves are joined. References without a payload in the store stay, with nulls; so do
+    those of a null digest. Payloads of one digest count once. What a function makes is written first, so that the references to a
+    digest of very many can be split.
     """
     names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
     if function:
         store = store.mapInArrow(partial(_project, function=function, names=list(names), kinds=[_ARROW[k] for k in kinds]), f"digest string, {schema}")
     refs = sequences.select("id", F.explode("items").alias("i")).where("i.kind = 'media'").select("id", "i.position", "i.caption", "i.digest")
-    return refs.join(store.dropDuplicates(["digest"]), "digest", "left")
+    once = store.dropDuplicates(["digest"])
+    return refs.join(stored(once) if function else once, "digest", "left")
 
 
 def page_of(text: Column, digest: Column) -> Column:
@@ -216,6 +219,8 @@ def page_of(text: Column, digest: Column) -> Column:
 
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
+    """The payload of every document as it is read back from the store. Null and empty texts are 64 bytes 0; repeated rows and equal
+    texts give equal rows; an empty table none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     store = media_store(docs.select("digest", F.col("text").cast("binary").alias("payload")))
