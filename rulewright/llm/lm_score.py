@@ -37,6 +37,8 @@ HEAD = 1 << 16  # words whose counts are broadcast; no count is left out, those
 STEP_TOKENS = 4096
 ROUNDS = 2
 CHUNK = 4096
+#: Parts in which weights are averaged before these averages are.
+FAN = 64
 
 
 class Weights:
@@ -269,7 +271,7 @@ def _train(batches: Iterator[pa.RecordBatch], start, known, rate: float) -> Iter
             seen += len(tokens)
     if seen:
         cut = range(0, len(w.flat), CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(list(cut), pa.int32()), pa.array([float(seen)] * len(cut)), pa.array([w.flat[a : a + CHUNK].tobytes() for a in cut], pa.binary())], names=["chunk", "tokens", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(cut), pa.int32()), pa.array([float(seen)] * len(cut)), pa.array([w.flat[a : a + CHUNK].tobytes() for a in cut], pa.binary())], names=["chunk", "tokens", "weights"]).append_column("part", pa.array([TaskContext.get().partitionId() % FAN] * len(cut), pa.int32()))
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,8 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = total.setdefault(c, [0.0, 0.0])
             one[0] = one[0] + n
             one[1] = one[1] + n * np.frombuffer(raw, np.float32).astype(np.float64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.float64()), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["chunk", "tokens", "weights"])
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v[0] for v in total.values()], pa.float64()), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["chunk", "tokens", "weights"])
 
 
 def train(docs: DataFrame, known, text_col: str = "text", rounds: int = ROUNDS, rate: float = 0.1) -> np.ndarray:
@@ -288,10 +291,12 @@ def train(docs: DataFrame, known, text_col: str = "text", rounds: int = ROUNDS,
     sc = docs.sparkSession.sparkContext
     sent, w = sc.broadcast(known), Weights().flat
     form = "chunk int, tokens double, weights binary"
+    parted = f"{form}, part int"
     for r in range(rounds):
         start = sc.broadcast(w)
-        parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(partial(_train, start=start, known=sent, rate=rate / (1 + r)), form)
-        got = parts.repartition("chunk").mapInArrow(_average, form).collect()  # one set of weights
+        parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(partial(_train, start=start, known=sent, rate=rate / (1 + r)), parted)
+        first = parts.repartition("chunk", "part").drop("part").mapInArrow(_average, form)
+        got = first.repartition("chunk").mapInArrow(_average, form).collect()  # one set of weights
         if not got:
             return w
         w = np.concatenate([np.frombuffer(x["weights"], np.float32) for x in sorted(got, key=lambda x: x["chunk"])])
@@ -352,7 +357,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """(doc_id, n_tokens, log_likelihood, mean_log_prob) of every row, by a network trained on the same rows.
 
     Null or wordless texts have no tokens, a sum of 0 and a null mean. Repeated rows train as often as they stand there and get
-    one score, equal up to rounding. Other columns are ignored. An empty table gives no rows.
+    one score, equal up to rounding. Other columns are ignored. An empty table gives no rows. Texts of any length are taken whole.
+    Tasks train on their own texts and are averaged, so scores move a little with how the table is cut into partitions; reruns over
+    the same files agree but for the order of sums.
     """
     sc, n = docs.sparkSession.sparkContext, buckets_for(docs)
     counts = word_counts(docs, text_col)
@@ -372,4 +379,5 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
+    """Score of every document by a network trained on all of them. Nulls, empty texts and repeats: as in lm_score()."""
     return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
