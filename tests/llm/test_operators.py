@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -284,6 +286,51 @@ def test_media(spark):
     assert len(got) == 5 and got[0].n_bytes == 3 and got[1].payload_bytes == 64 and got[4].n_bytes is None and got[3].caption == "3"
 
 
+def png_samples(raw):
+    """The samples of a grey PNG without filters, by its own reading of the format."""
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[12:16] == b"IHDR"
+    width, height, depth, colour = struct.unpack(">IIBB", raw[16:26])
+    assert (depth, colour) == (8, 0)
+    data, at = b"", 8
+    while at < len(raw):
+        (n,) = struct.unpack(">I", raw[at : at + 4])
+        kind, body = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    rows = zlib.decompress(data)
+    return b"".join(rows[k * (width + 1) + 1 : (k + 1) * (width + 1)] for k in range(height))
+
+
+def test_media_query(spark, tmp_path, docs):
+    own = docs.select("doc_id", "text", F.lit("x").alias("digest"), F.lit(1).alias("id"))
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in media.op7_media_columns(spark, str(tmp_path)).collect())
+    want = []
+    for r in own.collect():
+        raw = (r.text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stored = media.to_png(payload, len(raw))
+        assert png_samples(stored) == payload
+        want.append((str(r.doc_id), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
+    assert got == sorted(want)
+    empty(own).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op7_media_columns(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_distrust(spark):
+    """A host that links to blocked ones is blocked, one that trusted hosts link to is not; a link inside a query string is none."""
+    link = lambda *hosts: "".join(f'<a href="//{h}/x">y</a>' for h in hosts) + '<a href="/go?u=http://b.net/">z</a>'
+    rows = [(1, "http://bad.info/", link("a.net", "b.net")), (2, "http://good.info/", link("x.org")), (3, "http://x.org/fr/1", link("good.info")), (4, "http://a.net/", link("b.net")), (5, "http://b.net/", ""), (6, None, None), (6, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert (got[1].verdict, got[2].verdict, got[3].verdict, got[6].verdict) == ("block", "allow", "allow", "allow")
+    assert got[1].distrust > 0 and got[1].trust == 0 and got[2].trust > 0 and got[2].distrust == 0
+    assert url_filter.filter_urls(pages.where("false")).count() == 0 and len(url_filter.filter_urls(pages).collect()) == 7
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages, rounds=2)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a\\b ### c </turn> : "), (1, 1, "assistant", "\\### x"), (1, 1, "assistant", ""), (2, None, None, None), (None, 3, "assistant", "é" * 30000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
