@@ -390,7 +390,7 @@ def line_dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, co
     """
     gone = recurring_lines(docs, depth, min_docs, constant, id_col, text_col, long_docs, hot)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
-    out = base.join(gone, "row_key", "left")
+    out = base.join(gone.hint("merge"), "row_key", "left")  # gone grows with docs: one plan at every size
     lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).otherwise(0)
     return out.select("doc_id", _left("text", "lines").alias("text"), lines.cast("long").alias("n_lines"), F.coalesce(F.size(F.col("lines")), F.lit(0)).cast("long").alias("n_dropped")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
 
@@ -423,7 +423,7 @@ def drop_long_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     whole = docs.select(row_key("doc_id", "text").alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    out = whole.join(gone, "row_key", "left").select("row", "lines", F.col("row.text").alias("text"))
+    out = whole.join(gone.hint("merge"), "row_key", "left").select("row", "lines", F.col("row.text").alias("text"))
     out = out.select("row", "lines", _left("text", "lines").alias("text"))
     kind = dict(docs.dtypes)
 
