@@ -22,9 +22,11 @@ FLUSH = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or on a local master, where that is unset, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rulewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
