@@ -47,3 +47,8 @@ def instant(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.NumericType):
         return F.timestamp_seconds(column.cast("double"))
     return F.coalesce(column.try_cast("timestamp"), F.timestamp_seconds(column.try_cast("double")))
+
+
+def fact_bytes(*columns: str) -> Column:
+    """How many bytes a fact takes as JSON text; a measure of what a memory of facts holds."""
+    return F.octet_length(F.to_json(F.struct(*columns)))

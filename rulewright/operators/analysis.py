@@ -276,6 +276,12 @@ def connectivity(rules: DataFrame, cons: DataFrame) -> DataFrame:
     return out.select("rule_id", F.coalesce("connections", F.lit(0)).cast("long").alias("connections"), F.coalesce("field_count", F.lit(0)).cast("long").alias("field_count")).withColumn("isolated", F.col("connections") == 0)
 
 
+def top_rules(rules: DataFrame, cons: DataFrame, k: int = 10) -> DataFrame:
+    """(rule_id, rule_name, connections, field_count) of the k rules that share fields with most others."""
+    out = connectivity(rules, cons).join(rules.select("rule_id", "rule_name"), "rule_id")
+    return out.orderBy(F.desc("connections"), F.desc("field_count"), "rule_id").limit(k).select("rule_id", "rule_name", "connections", "field_count")
+
+
 def graph(rules: DataFrame, cons: DataFrame, group: str | None = None, field: str | None = None, name: str | None = None, max_nodes: int = 500) -> dict:
     """Nodes and edges for display; edges only up to max_nodes nodes or where a filter is given."""
     nodes = rules

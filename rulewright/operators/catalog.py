@@ -20,7 +20,8 @@ VERSIONED = ("name", "description", "grp", "priority", "enabled", "condition", "
 RULES = "rule_id long, name string, description string, grp string, priority int, enabled boolean, condition string, action string, metadata string, evaluation_mode string, current_version int, deleted boolean, changed_at timestamp"
 PARKED = "park_id string, rule_id long, name string, condition string, action string, grp string, priority int, type string, other long, detail string, status string, submitted_at timestamp"
 AUDIT = "id long, action_type string, entity_type string, entity_id long, user_id long, details string, timestamp timestamp, integrity_hash string"
-POLICIES = "name string, scope string, schedule string, enabled boolean, next_run_at timestamp, last_run_at timestamp"
+POLICIES = "name string, scope string, schedule string, enabled boolean, next_run_at timestamp, last_run_at timestamp, revision long, deleted boolean"
+REPORTS = "report_id string, policy string, ran_at timestamp, check string, scope string, passed boolean, count long, detail string, report_hash string"
 
 
 def row_of(rule: Rule, version: int, at: datetime, deleted: bool = False) -> tuple:
@@ -160,14 +161,62 @@ class Catalog:
         rows = [(last + i, *e, at, None) for i, e in enumerate(entries, 1)]
         stamped(self.spark.createDataFrame(rows, AUDIT), self.secret).coalesce(1).write.mode("append").parquet(f"{self.path}/audit")
 
+    def policies(self) -> DataFrame:
+        return latest_versions(self.table("policies", POLICIES), "name", "revision").where("not deleted")
+
+    def _policy(self, name: str):
+        found = self.policies().where(F.col("name") == name).head()
+        if found is None:
+            raise KeyError(name)
+        return found
+
+    def _write_policy(self, name: str, scope: str, schedule: str, enabled: bool, due: datetime, last: datetime | None, deleted: bool = False) -> None:
+        revision = self.table("policies", POLICIES).where(F.col("name") == name).agg(F.max("revision")).head()[0] or 0
+        self.append("policies", POLICIES, [(name, scope, schedule, enabled, due, last, revision + 1, deleted)])
+
     def save_policy(self, name: str, scope: str, schedule: str, at: datetime, enabled: bool = True) -> datetime:
-        if self.table("policies", POLICIES).where(F.col("name") == name).limit(1).count():
+        """Create a policy; its name must be new. Gives when it is due."""
+        if self.policies().where(F.col("name") == name).limit(1).count():
             raise ValueError(f"policy {name!r} exists")
         cron.scopes(scope)
         due = cron.next_run(schedule, at)
-        self.append("policies", POLICIES, [(name, scope, schedule, enabled, due, None)])
+        self._write_policy(name, scope, schedule, enabled, due, None)
+        return due
+
+    def update_policy(self, name: str, at: datetime, scope: str | None = None, schedule: str | None = None, enabled: bool | None = None) -> datetime:
+        old = self._policy(name)
+        scope, schedule = scope or old["scope"], schedule or old["schedule"]
+        cron.scopes(scope)
+        due = cron.next_run(schedule, at)
+        self._write_policy(name, scope, schedule, old["enabled"] if enabled is None else enabled, due, old["last_run_at"])
         return due
 
+    def delete_policy(self, name: str) -> None:
+        old = self._policy(name)
+        self._write_policy(name, old["scope"], old["schedule"], False, old["next_run_at"], old["last_run_at"], True)
+
+    def due_policies(self, at: datetime) -> DataFrame:
+        return self.policies().where(F.col("enabled") & (F.col("next_run_at") <= F.lit(at)))
+
+    def run_policy(self, name: str, checks: dict, at: datetime) -> str:
+        """Run the checks of a policy's scope, store the report and give its id; when the policy is due next is worked out anew."""
+        policy, report = self._policy(name), uuid.uuid4().hex
+        rows = audit_run(self.spark, checks, policy["scope"], at, self.secret)
+        rows = rows.select(F.lit(report).alias("report_id"), F.lit(name).alias("policy"), F.lit(at).alias("ran_at"), "check", "scope", "passed", "count", "detail", "report_hash")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/reports")
+        self._write_policy(name, policy["scope"], policy["schedule"], policy["enabled"], cron.next_run(policy["schedule"], at), at)
+        return report
+
+    def reports(self, policy: str | None = None, passed: bool | None = None, limit: int = 100) -> DataFrame:
+        """The newest reports, a row for each check."""
+        rows = self.table("reports", REPORTS)
+        rows = rows if policy is None else rows.where(F.col("policy") == policy)
+        rows = rows if passed is None else rows.where(F.col("passed") == passed)
+        return rows.orderBy(F.desc("ran_at"), "report_id", "check").limit(limit)
+
+    def report(self, report_id: str) -> DataFrame:
+        return self.table("reports", REPORTS).where(F.col("report_id") == report_id)
+
 
 def latest_versions(versions: DataFrame, key: str = "rule_id", order: str = "version") -> DataFrame:
     """The newest row of each key, by aggregation (no sort, and partial in each task)."""

@@ -34,6 +34,11 @@ for _name in BUILT_IN:
     action(_name, f"report {_name}", "built-in")(partial(_report, name=_name))
 
 
+def action_names(actions) -> list[str]:
+    """Actions as a list of names: none, one, or several."""
+    return [] if actions is None else [actions] if isinstance(actions, str) else [str(a) for a in actions]
+
+
 def execute(name: str, event: dict, context: dict | None = None, registry: dict | None = None) -> dict:
     """What an action returns; unknown names and errors are told, not raised."""
     registry = ACTIONS if registry is None else registry

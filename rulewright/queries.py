@@ -397,6 +397,11 @@ def isolated_rules(spark, d):
     return analysis.connectivity(analysis.rule_table(spark, LONE), analysis.constraints(spark, LONE)).where("isolated").drop("isolated")
 
 
+@query(f"SELECT CAST(n.rule_id AS BIGINT) AS rule_id, n.rule_name, count(DISTINCT b.rule_id) AS connections, any_value(f.n) AS field_count FROM {values([(r.id, r.name) for r in SET], 'rule_id, rule_name').replace('AS t(', 'AS n(')} JOIN ({_E}) a ON a.rule_id = n.rule_id LEFT JOIN ({_E}) b ON a.field = b.field AND a.rule_id <> b.rule_id JOIN (SELECT rule_id, count(*) AS n FROM ({_E}) GROUP BY rule_id) f ON f.rule_id = n.rule_id GROUP BY n.rule_id, n.rule_name ORDER BY connections DESC, field_count DESC, rule_id LIMIT 5")
+def top_rules(spark, d):
+    return analysis.top_rules(analysis.rule_table(spark, SET), _cons(spark), 5)
+
+
 @query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_name, CAST(score AS BIGINT) AS score FROM (SELECT rule_id, rule_name, CASE WHEN grp = 'age' THEN 30 ELSE 0 END + CASE WHEN rule_name LIKE '%teen%' OR contains('teen', rule_name) THEN 20 ELSE 0 END + 10 * has_age AS score FROM {values([(r.id, r.name, r.group, int('age' in ir.fields(r.tree()))) for r in SET], 'rule_id, rule_name, grp, has_age')}) WHERE score >= 30 ORDER BY score DESC, rule_id LIMIT 5")
 def similar_rules(spark, d):
     return analysis.similar(analysis.rule_table(spark, SET), Rule(99, "teen", leaf("age", ">", 1), "x", 0, "age"))
@@ -510,6 +515,12 @@ def audit_hmac(spark, d):
     return table(spark, d, "events").select("event_id", hmac_sha256("secret", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")).alias("stamp"))
 
 
+@query("SELECT CAST(user_id AS BIGINT) AS rule_id, count(*) AS hit_count, round(sum(CAST(value * 4 AS BIGINT)) / 4.0, 2) AS total_ms, max(ts) AS last_fired_at FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def rule_metrics(spark, d):
+    fired = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("rule_id"), (F.round(F.col("value") * 4).cast("long") / 4).alias("ms"), "ts")
+    return analytics.rule_hits(fired, "ms", "ts").drop("avg_ms")
+
+
 # --- sessions ---------------------------------------------------------------------------------------------------------
 
 _OP = "CASE WHEN event_type = 'purchase' AND value > 150 THEN 'delete' WHEN event_type = 'click' THEN 'retract' ELSE 'assert' END"

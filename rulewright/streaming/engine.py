@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,6 +15,20 @@ from ..plans import ir
 from ..plans.compiler import Fields, compile_tree, truth
 
 
+def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None, form: str = "json") -> DataFrame:
+    """Events that arrive as files in a folder."""
+    reader = spark.readStream.schema(schema).format(form)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
+
+
+def queue_stream(spark: SparkSession, servers: str, topic: str, schema: str, **options: str) -> DataFrame:
+    """Events of a Kafka topic, as JSON text by schema, with the queue's own time as ``arrival``; needs Spark's Kafka package.
+
+    Offsets are kept by the query's checkpoint, so each event is taken once."""
+    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
+    return rows.select(F.from_json(F.col("value").cast("string"), schema).alias("e"), F.col("timestamp").alias("arrival")).select("e.*", "arrival")
+
+
 def match_stream(events: DataFrame, rules: Iterable[Rule], key: str) -> DataFrame:
     """Matches of a stream: the wide plan has no state and no shuffle, so it is the same on streams and batches."""
     return match(events, rules, key, strategy="wide")
@@ -34,7 +48,7 @@ def sink(matches: DataFrame, path: str, checkpoint: str, each: Callable[[DataFra
 def sequence_stream(events: DataFrame, spec: ir.Sequence | dict, time_col: str, id_col: str, delay: str = "1 hour") -> DataFrame:
     """(id_1, id_2) of two-step sequences, as an interval join of the stream with itself; the window bounds the state.
 
-    Times must differ for order to be told; facts later than ``delay`` are dropped. Longer sequences: chain() of steps.
+    Times must differ for order to be told; facts later than ``delay`` are dropped. Longer sequences are for batches.
     """
     spec = ir.parse(spec) if isinstance(spec, dict) else spec
     if len(spec.steps) != 2:

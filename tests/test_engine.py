@@ -191,3 +191,21 @@ def test_session_store(spark, tmp_path):
     assert [r["fact"] for r in store.facts("s", later(91)).collect()] == ["z"] and store.sessions("bob", later(91)).count() == 1
     assert (store.accumulate("t", "n", 2, at), store.accumulate("t", "n", 3, at)) == (2.0, 5.0)
     assert (store.next_number("t", "q", at, 1, 2), store.next_number("t", "q", at, 1, 2)) == (1, 3)
+
+
+def test_policies_and_reports(spark, tmp_path):
+    store, at = catalog.Catalog(spark, str(tmp_path), "key"), datetime(2024, 1, 1, 0, 30)
+    store.save_policy("nightly", "coverage", "0 3 * * *", at)
+    with pytest.raises(ValueError):
+        store.save_policy("nightly", "coverage", "0 3 * * *", at)
+    store.update_policy("nightly", at, schedule="0 5 * * *")
+    assert store.policies().head()["next_run_at"] == datetime(2024, 1, 1, 5) and store.due_policies(datetime(2024, 1, 1, 4)).count() == 0
+    ran = datetime(2024, 1, 1, 6)
+    report = store.run_policy("nightly", {"coverage": {"cold": lambda: 2, "fine": lambda: 0, "broken": lambda: 1 / 0}}, ran)
+    assert {r["check"]: (r["passed"], r["count"]) for r in store.report(report).collect()} == {"cold": (False, 2), "fine": (True, 0), "broken": (False, None)}
+    assert store.reports("nightly", passed=True).count() == 1 and store.reports("other").count() == 0
+    assert store.policies().head()["last_run_at"] == ran and store.policies().head()["next_run_at"] == datetime(2024, 1, 2, 5)
+    store.delete_policy("nightly")
+    assert store.policies().count() == 0
+    with pytest.raises(KeyError):
+        store.run_policy("nightly", {}, ran)
