@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, path: str, secret: str = ""):
         self.spark, self.path, self.secret = spark, path.rstrip("/"), secret
+        self.lock = threading.RLock()  # versions and ids follow those that are there: writers of one process take turns
 
     def table(self, name: str, schema: str) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
@@ -70,7 +73,10 @@ class Catalog:
 
     def put(self, rules: Iterable[Rule], at: datetime, user: int | None = None, deleted: bool = False) -> None:
         """Create, update or delete: the next version of each rule, an audit row for each, and compiled rules are dropped."""
-        rules = list(rules)
+        with self.lock:
+            self._put(list(rules), at, user, deleted)
+
+    def _put(self, rules: list[Rule], at: datetime, user: int | None, deleted: bool) -> None:
         ids = [r.id for r in rules]
         have = {r["rule_id"]: r["v"] for r in self.table("rules", RULES).where(F.col("rule_id").isin(ids)).groupBy("rule_id").agg(F.max("current_version").alias("v")).collect()}
         self.append("rules", RULES, [row_of(r, have.get(r.id, 0) + 1, at, deleted) for r in rules])
@@ -83,6 +89,10 @@ class Catalog:
 
         All candidates are validated in a few jobs, however many they are; only which of two new rules comes first is settled here.
         """
+        with self.lock:
+            return self._import(candidates, at, user, blocking)
+
+    def _import(self, candidates: Iterable[Rule], at: datetime, user: int | None, blocking: frozenset) -> dict:
         have, good, parked, errors = self.rules(), [], [], []
         for c in candidates:
             try:
@@ -155,6 +165,10 @@ class Catalog:
 
     def audit(self, entries: list[tuple], at: datetime) -> None:
         """Append (action_type, entity_type, entity_id, user_id, details) with their signatures."""
+        with self.lock:
+            self._audit(entries, at)
+
+    def _audit(self, entries: list[tuple], at: datetime) -> None:
         last = self.table("audit", AUDIT).agg(F.max("id")).head()[0] or 0
         if not entries:
             return
@@ -218,6 +232,28 @@ class Catalog:
         return self.table("reports", REPORTS).where(F.col("report_id") == report_id)
 
 
+class ImportJobs:
+    """Bulk imports that run beside their caller; a job is pending, running, completed or failed."""
+
+    def __init__(self, catalog: Catalog, workers: int = 4):
+        self.catalog, self.pool = catalog, ThreadPoolExecutor(workers)
+        self.jobs: dict[str, Future] = {}
+
+    def submit(self, candidates: Iterable[Rule], at: datetime, user: int | None = None) -> str:
+        job = uuid.uuid4().hex
+        self.jobs[job] = self.pool.submit(self.catalog.import_rules, list(candidates), at, user)
+        return job
+
+    def state(self, job: str, wait: float | None = 0) -> dict:
+        """Status of a job, with its result or its error once it has ended; wait: seconds to wait for that."""
+        one = self.jobs[job]
+        try:
+            error = one.exception(wait)
+        except TimeoutError:
+            return {"status": "running" if one.running() else "pending"}
+        return {"status": "failed", "error": f"{type(error).__name__}: {error}"} if error else {"status": "completed", **one.result()}
+
+
 def latest_versions(versions: DataFrame, key: str = "rule_id", order: str = "version") -> DataFrame:
     """The newest row of each key, by aggregation (no sort, and partial in each task)."""
     rest = [c for c in versions.columns if c != key]

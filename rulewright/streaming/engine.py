@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.matcher import Rule, match
@@ -119,3 +120,28 @@ def session_stream(facts: DataFrame, capacity: int = 1000, ttl_ms: int | None =
 def windowed_counts(matches: DataFrame, time_col: str, width: str, delay: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Hits by rule and event-time window, late rows up to a delay."""
     return matches.withWatermark(time_col, delay).groupBy(F.window(time_col, width, slide), "rule_id").agg(F.count(F.lit(1)).alias("hit_count"))
+
+
+class Progress(StreamingQueryListener):
+    """Counts of what streams have done, by query name: batches, rows and milliseconds; errors of those that failed."""
+
+    def __init__(self):
+        self.names: dict[str, str] = {}
+        self.queries: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.id)] = event.name or str(event.id)
+        self.queries.setdefault(self.names[str(event.id)], {"batches": 0, "rows": 0, "ms": 0, "error": None})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        own = self.queries[self.names[str(p.id)]]
+        own["batches"] += 1
+        own["rows"] += p.numInputRows
+        own["ms"] += p.batchDuration
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.queries[self.names[str(event.id)]]["error"] = event.exception

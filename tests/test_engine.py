@@ -209,3 +209,13 @@ def test_policies_and_reports(spark, tmp_path):
     assert store.policies().count() == 0
     with pytest.raises(KeyError):
         store.run_policy("nightly", {}, ran)
+
+
+def test_import_jobs(spark, tmp_path):
+    jobs = catalog.ImportJobs(catalog.Catalog(spark, str(tmp_path)), 2)
+    at = datetime(2024, 1, 1)
+    made = [jobs.submit([Rule(10 * k + i, f"r{k}{i}", leaf(f"f{k}{i}", ">", 1), "a", 10 * k + i) for i in range(2)], at) for k in range(2)]
+    assert [jobs.state(j, 120)["created"] for j in made] == [[0, 1], [10, 11]]
+    bad = jobs.submit([None], at)
+    assert jobs.state(bad, 60)["status"] == "failed" and jobs.catalog.current().count() == 4
+    assert [r["id"] for r in jobs.catalog.table("audit", catalog.AUDIT).orderBy("id").collect()] == [1, 2, 3, 4]

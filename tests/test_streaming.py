@@ -1,6 +1,7 @@
 """Streams over files, run until they are read, against the same work on batches."""
 
 import json
+import time
 
 from rulewright.functions.text import fact_bytes
 from rulewright.operators.matcher import Rule, match
@@ -27,13 +28,20 @@ def run(query):
 
 def test_matches_reach_the_sink(spark, tmp_path):
     src = files(tmp_path / "in", [{"id": i, "x": i % 9, "at": f"2024-01-01T00:00:{i:02d}"} for i in range(30)])
-    seen = []
+    seen, progress = [], engine.Progress()
+    spark.streams.addListener(progress)
     found = engine.match_stream(engine.event_stream(spark, src, SCHEMA, 1), RULES, "id")
     for _ in range(2):  # what is read once is not read again
-        run(engine.sink(found, str(tmp_path / "out"), str(tmp_path / "mark"), lambda batch, number: seen.append(number)))
+        run(engine.sink(found, str(tmp_path / "out"), str(tmp_path / "mark"), lambda batch, number: seen.append(number)).queryName("matches"))
     rows = lambda df: sorted((r["id"], r["rule_id"]) for r in df.collect())
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(match(spark.read.schema(SCHEMA).json(src), RULES, "id"))
     assert seen == [0, 1, 2]
+    for _ in range(100):
+        if progress.queries.get("matches", {}).get("rows") == 30:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert progress.queries["matches"]["rows"] == 30 and progress.queries["matches"]["error"] is None
 
 
 def test_windowed_counts(spark, tmp_path):
