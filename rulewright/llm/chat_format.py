@@ -178,7 +178,9 @@ def _digest(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch
 
 
 def digests(formatted: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row for each conversation of format_turns(): sizes and digests of what its tokens and masks say."""
+    """A row for each conversation of format_turns(): sizes and digests of what its tokens and masks say.
+
+    A digest of all turns in order is one task's work for each conversation, however long; its turns stream through it."""
     kind = dict(formatted.dtypes)["conv_id"]
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "loss")
     return rows.mapInArrow(partial(_digest, ranks=vocabulary(formatted.sparkSession, tokenizer)), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
