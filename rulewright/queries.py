@@ -521,6 +521,82 @@ def rule_metrics(spark, d):
     return analytics.rule_hits(fired, "ms", "ts").drop("avg_ms")
 
 
+# --- edges of the language --------------------------------------------------------------------------------------------
+
+ODD = [
+    Rule(1, "empty group", {"type": "group", "op": "OR", "children": []}),
+    Rule(2, "nothing", None),
+    Rule(3, "unknown group", {"type": "group", "op": "XOR", "children": [leaf("value", ">", 0)]}),
+    Rule(4, "lower case", {"type": "group", "op": "or", "children": [leaf("value", ">", 100), leaf("value", "<", 10)]}),
+    Rule(5, "needs state", group("AND", leaf("value", ">", 0), {"type": "cross_fact_join", "correlate_field": "user_id"})),
+    Rule(6, "negated", group("NOT", leaf("value", ">", 100))),
+]
+
+
+@query("SELECT event_id, CAST(r AS BIGINT) AS rule_id FROM events, (VALUES (1), (4), (6)) t(r) WHERE r = 1 OR (r = 4 AND (value > 100 OR value < 10)) OR (r = 6 AND NOT coalesce(value > 100, false))")
+def odd_trees(spark, d):
+    return match(table(spark, d, "events"), ODD, "event_id").select("event_id", "rule_id")
+
+
+_RENDERED = group("AND", group("OR", leaf("event_type", "in", ["click", "purchase"]), leaf("props", "starts_with", "{")), group("NOT", leaf("value", "<=", 20.5)), leaf("user_id", "exists"))
+
+
+@query("SELECT event_id FROM events WHERE (event_type IN ('click', 'purchase') OR starts_with(props, '{')) AND NOT value <= 20.5 AND user_id IS NOT NULL")
+def rendered_tree(spark, d):
+    return table(spark, d, "events").where(F.expr(ir.render(ir.parse(_RENDERED)))).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0")
+def coerced_bools(spark, d):
+    df = table(spark, d, "events").withColumn("flag", F.when(F.col("event_id") % 3 == 0, " TRUE ").when(F.col("event_id") % 3 == 1, "False").otherwise("maybe"))
+    return df.where(truth(compile_tree(ir.parse(leaf("flag", "==", True)), Fields(df.schema), Flags(coerce_bool_strings=True)))).select("event_id")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(r AS BIGINT) AS rule_id FROM orders, (VALUES (1), (3)) t(r) WHERE (r = 1 AND o_totalprice > 200000) OR (r = 3 AND o_totalprice > 50000)")
+def match_ids(spark, d):
+    return match(table(spark, d, "orders"), THREE, "o_orderkey", ids=[1, 3]).select("o_orderkey", "rule_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id % 2 = 0 AND ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-20 00:00:00'")
+def expired_sessions(spark, d):
+    own = table(spark, d, "events").where("user_id % 2 = 0").withColumn("created_at", F.col("ts")).withColumn("updated_at", F.current_timestamp())
+    return stateful.expired(own, "2024-01-20 00:00:00", 5 * 86400, sliding=False).select("event_id")
+
+
+@query("SELECT user_id AS rule_id, min(event_id) AS recency FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING bool_or(event_type = 'click')")
+def cancelled_activations(spark, d):
+    own = table(spark, d, "events").where("user_id is not null")
+    queued = own.groupBy(F.col("user_id").alias("rule_id")).agg(F.min("event_id").alias("recency"), F.collect_list(F.struct(F.col("event_id").alias("fact_id"))).alias("matched_facts"))
+    return stateful.cancelled(queued, own.where("event_type = 'click'").select(F.col("event_id").alias("fact_id"))).select("rule_id", "recency")
+
+
+@query("SELECT DISTINCT p_brand AS grp FROM part")
+def rule_groups(spark, d):
+    return analytics.groups(table(spark, d, "part").select(F.col("p_brand").alias("grp")))
+
+
+@query("SELECT event_id FROM (SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 40) ")
+def newest_explanations(spark, d):
+    own = table(spark, d, "events").where("event_type = 'click'").select("event_id", F.struct("ts", "event_id").alias("at"), F.lit(1).alias("rule_id"), F.lit("[\u2713 a=1] [\u2717 b=2]").alias("explanation"))
+    return analytics.explanation_feed(own, "at", 40, 1).where("matched[0] = 'a=1' and missing[0] = 'b=2'").select("event_id")
+
+
+@query(f"SELECT rule1, rule2, grp, string_agg(field, ',' ORDER BY field) AS fields FROM (SELECT x.k AS rule1, y.k AS rule2, x.g AS grp, unnest(['price', 'size']) AS field FROM ({_BRANCHES}) x JOIN ({_BRANCHES}) y ON x.g = y.g AND x.k < y.k AND x.a <> y.a WHERE x.r IS NOT NULL AND y.r IS NOT NULL AND x.k % 5 = 0 AND y.k % 5 = 0) GROUP BY 1, 2, 3")
+def conflicts_union(spark, d):
+    """The compatible reading: bounds of a field are united, so two bounds that look at each other cover every number."""
+    return analysis.conflicts(_many(spark, d).where("branch = 0 and rule_id % 5 = 0"), exact=False)
+
+
+_US = [Rule(1, "us", group("AND", leaf("country", "==", "US"), leaf("amount", ">", 10)), "a", 1, "g"), Rule(2, "uk", group("AND", leaf("country", "==", "UK"), leaf("amount", "<", 50)), "b", 2, "g"), Rule(3, "far", group("AND", leaf("country", "==", "UK"), leaf("amount", ">", 90)), "c", 3, "g")]
+_AMOUNTS = values([(r.id, x.value, 1 if x.op == ">" else -1) for r in _US for x in ir.leaves(r.tree()) if x.field == "amount"], "id, bound, side")
+
+
+@query(f"SELECT CAST(a.id AS BIGINT) AS rule1, CAST(b.id AS BIGINT) AS rule2, 'g' AS grp, 'amount' AS fields FROM {_AMOUNTS.replace('AS t(', 'AS a(')} JOIN {_AMOUNTS.replace('AS t(', 'AS b(')} ON a.id < b.id AND (a.side = b.side OR a.side * a.bound < a.side * b.bound)")
+def conflicts_fallback(spark, d):
+    """With the fallback a number range that meets is enough, whatever the texts say."""
+    return analysis.conflicts(analysis.constraints(spark, _US), fallback=True)
+
+
 # --- sessions ---------------------------------------------------------------------------------------------------------
 
 _OP = "CASE WHEN event_type = 'purchase' AND value > 150 THEN 'delete' WHEN event_type = 'click' THEN 'retract' ELSE 'assert' END"
