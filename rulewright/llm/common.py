@@ -39,7 +39,7 @@ def stored(df: DataFrame, tidy: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if tidy:

@@ -336,7 +336,8 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "do
     groups = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "g long, node long, n long"))
     wanted = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     sketch = partial(_texts, size=size, n=n, percent=percent, order=order)
-    texts = base.select("row_key", "text").join(wanted, "row_key").select("node", "text").dropDuplicates(["node"])
+    # joined by exchange at every size; rows repeated whole then lie side by side
+    texts = base.select("row_key", "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"]).select("node", "text")
     texts = stored(texts.mapInArrow(sketch, "node long, text string, bits array<long>, first1 array<int>, first2 array<int>"))
     label = _merge(groups, texts, size, percent, partial(_measured, size=size, n=n, percent=percent, order=order))
     for t in (groups, texts):
@@ -369,7 +370,7 @@ def _merge(groups: DataFrame, texts: DataFrame, size: int, percent: int, measure
         pairs = _small_pairs(open_, percent)
         if near is not None:
             pairs = pairs.unionByName(_near_pairs(near, label, percent))
-        links = _verified(pairs, texts, size, percent)
+        links = _verified(pairs, texts.hint("merge") if first else texts, size, percent)  # the first round has pairs of most texts
         old, near = near, None
         if large.limit(1).count():
             rows = _with_pivots(large, texts, size, measure)
