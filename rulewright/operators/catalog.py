@@ -99,7 +99,7 @@ class Catalog:
                 bad, _ = ir.lint(c.condition)
                 if bad:
                     raise ir.RuleError(bad[0]["message"], bad[0]["path"])
-                ir.parse(c.condition)
+                analysis.constraint_rows([c])  # parses it, and bounds the conjunctions that it stands for
                 good.append(c)
             except ValueError as e:
                 errors.append((c.id, str(e)))

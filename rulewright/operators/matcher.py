@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import OrderedDict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
@@ -63,13 +65,17 @@ class Compiled:
         return {"alpha_nodes": len(self.leaves), "rules": len(self.rules), "shared_conditions": self.shared, "rules_hash": self.hash}
 
 
-_CACHE: dict[tuple, Compiled] = {}
+_CACHE: OrderedDict[tuple, tuple[float, Compiled]] = OrderedDict()
+#: Rule sets that are kept, and for how many seconds; those used last stay longest.
+CACHED = 32
+CACHE_SECONDS = 300.0
 
 
 def compile_rules(rules: list[Rule], flags: Flags = Flags()) -> Compiled:
-    """Parsed rules with shared leaves; kept by content until invalidate()."""
+    """Parsed rules with shared leaves; kept by content for a while, or until invalidate()."""
     key = (ir.content_hash([[r.id, r.name, r.condition, r.action, r.priority, r.group] for r in rules]), flags)
-    if key not in _CACHE:
+    now = time.monotonic()
+    if key not in _CACHE or _CACHE[key][0] < now:
         leaves: dict[str, ir.Leaf] = {}
         trees, seen = [], 0
         for r in rules:
@@ -78,12 +84,17 @@ def compile_rules(rules: list[Rule], flags: Flags = Flags()) -> Compiled:
             for leaf in ir.leaves(tree):
                 seen += 1
                 leaves.setdefault(leaf.key(), leaf)
-        _CACHE[key] = Compiled(leaves, trees, key[0], seen - len(leaves))
-    return _CACHE[key]
+        _CACHE[key] = (now + CACHE_SECONDS, Compiled(leaves, trees, key[0], seen - len(leaves)))
+        while len(_CACHE) > CACHED:
+            _CACHE.popitem(last=False)
+    _CACHE.move_to_end(key)
+    return _CACHE[key][1]
 
 
-def invalidate() -> None:
-    _CACHE.clear()
+def invalidate(group: str | None = None) -> None:
+    """Drop compiled rule sets: all, or those that hold a rule of a group."""
+    for key in [k for k, (_, c) in _CACHE.items() if group is None or any(r.group == group for r, _ in c.rules)]:
+        del _CACHE[key]
 
 
 def _over_leaves(node, names: dict[str, str], fields: Fields, flags: Flags) -> Column:

@@ -219,3 +219,17 @@ def test_import_jobs(spark, tmp_path):
     bad = jobs.submit([None], at)
     assert jobs.state(bad, 60)["status"] == "failed" and jobs.catalog.current().count() == 4
     assert [r["id"] for r in jobs.catalog.table("audit", catalog.AUDIT).orderBy("id").collect()] == [1, 2, 3, 4]
+
+
+def test_compiled_rules_are_kept_for_a_while(monkeypatch):
+    matcher.invalidate()
+    sets = [[Rule(i, "r", leaf("x", ">", i), group=f"g{i % 2}")] for i in range(40)]
+    made = [matcher.compile_rules(s) for s in sets]
+    assert len(matcher._CACHE) == matcher.CACHED and matcher.compile_rules(sets[-1]) is made[-1] and matcher.compile_rules(sets[0]) is not made[0]
+    matcher.invalidate("g1")
+    assert all(c.rules[0][0].group == "g0" for _, c in matcher._CACHE.values()) and matcher._CACHE
+    monkeypatch.setattr(matcher, "CACHE_SECONDS", -1.0)
+    one = matcher.compile_rules([Rule(99, "r", leaf("x", ">", 1))])
+    assert matcher.compile_rules([Rule(99, "r", leaf("x", ">", 1))]) is not one
+    matcher.invalidate()
+    assert not matcher._CACHE
