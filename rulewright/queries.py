@@ -168,7 +168,7 @@ def hot_rules(spark, d):
     return analytics.with_names(hot, analysis.rule_table(spark, FOUR)).select("rule_id", "rule_name", "hit_count")
 
 
-@query("SELECT CAST(4 AS BIGINT) AS rule_id, 'never' AS rule_name")
+@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_name FROM {values([(r.id, r.name) for r in FOUR if r.enabled], 'rule_id, rule_name')} WHERE rule_id NOT IN (SELECT rule_id FROM ({_HITS}))")
 def cold_rules(spark, d):
     return analytics.cold_rules(analysis.rule_table(spark, FOUR), _matches(spark, d))
 
@@ -343,7 +343,7 @@ def redundancy(spark, d):
     return analysis.redundancies(_cons(spark), exact=False)
 
 
-@query("SELECT CAST(3 AS BIGINT) AS rule_id, 'age' AS field, 'contradictory bounds' AS reason")
+@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, field, 'contradictory bounds' AS reason FROM ({_X}) WHERE low > high OR (low = high AND NOT (li AND hi))")
 def dead_rules(spark, d):
     return analysis.dead_rules(_cons(spark))
 
@@ -361,7 +361,7 @@ def coverage(spark, d):
     return analysis.coverage(_cons(spark))
 
 
-@query("SELECT CAST(7 AS BIGINT) AS rule_id, CAST(6 AS BIGINT) AS duplicate_of")
+@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(first AS BIGINT) AS duplicate_of FROM (SELECT rule_id, min(rule_id) OVER (PARTITION BY condition) AS first FROM {values([(r.id, ir.canonical(r.condition)) for r in SET], 'rule_id, condition')}) WHERE rule_id <> first")
 def duplicate_rules(spark, d):
     return analysis.duplicates(analysis.rule_table(spark, SET))
 
@@ -392,7 +392,10 @@ def dependency_summary(spark, d):
 LONE = [*SET, Rule(9, "lonely", leaf("shoe_size", ">", 44), "note", 1, "misc")]
 
 
-@query("SELECT CAST(9 AS BIGINT) AS rule_id, CAST(0 AS BIGINT) AS connections, CAST(1 AS BIGINT) AS field_count")
+_L = f"SELECT DISTINCT rule_id, field FROM {values([(r.id, x.field) for r in LONE for x in ir.leaves(r.tree())], 'rule_id, field')}"
+
+
+@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(0 AS BIGINT) AS connections, count(*) AS field_count FROM ({_L}) a WHERE rule_id NOT IN (SELECT x.rule_id FROM ({_L}) x JOIN ({_L}) y ON x.field = y.field AND x.rule_id <> y.rule_id) GROUP BY rule_id")
 def isolated_rules(spark, d):
     return analysis.connectivity(analysis.rule_table(spark, LONE), analysis.constraints(spark, LONE)).where("isolated").drop("isolated")
 
@@ -494,7 +497,10 @@ def version_latest(spark, d):
     return catalog.latest_versions(_versions(spark))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS rule_id, 'priority' AS field, '5' AS old, '7' AS new UNION ALL SELECT 1, 'condition', 'x > 1', 'x > 2'")
+_CELLS_OF = f"SELECT rule_id, version, unnest(['name', 'priority', 'condition']) AS field, unnest([name, CAST(priority AS VARCHAR), condition]) AS cell FROM ({_V})"
+
+
+@query(f"SELECT a.rule_id, a.field, a.cell AS old, b.cell AS new FROM ({_CELLS_OF}) a JOIN ({_CELLS_OF}) b ON a.rule_id = b.rule_id AND a.field = b.field AND a.version = 1 AND b.version = 2 AND a.cell IS DISTINCT FROM b.cell")
 def version_diff(spark, d):
     return catalog.version_diff(_versions(spark), 1, 2, ["name", "priority", "condition"])
 
@@ -625,15 +631,18 @@ def retention_filter(spark, d):
     return catalog.retained(table(spark, d, "events"), "2024-01-30 00:00:00", 7, "ts").select("event_id")
 
 
-@query("SELECT * FROM (VALUES ('disabled', CAST(1 AS BIGINT)), ('empty_condition', CAST(1 AS BIGINT)), ('empty_action', CAST(1 AS BIGINT)), ('duplicate_name', CAST(2 AS BIGINT))) t(issue, rules)")
+HEALTH = [*SET, Rule(20, "adult", leaf("x", ">", 1), "", 0, "age"), Rule(21, "off", None, "go", 0, "age", enabled=False)]
+_HEALTH = values([(r.id, r.name, r.enabled, r.condition is None, r.action) for r in HEALTH], "rule_id, rule_name, enabled, empty, action")
+
+
+@query(f"SELECT 'disabled' AS issue, count(*) FILTER (NOT enabled) AS rules FROM {_HEALTH} UNION ALL SELECT 'empty_condition', count(*) FILTER (empty) FROM {_HEALTH} UNION ALL SELECT 'empty_action', count(*) FILTER (action = '') FROM {_HEALTH} UNION ALL SELECT 'duplicate_name', count(*) FROM (SELECT rule_name, count(*) OVER (PARTITION BY rule_name) AS n FROM {_HEALTH}) WHERE n > 1")
 def rule_health(spark, d):
-    odd = [*SET, Rule(20, "adult", leaf("x", ">", 1), "", 0, "age"), Rule(21, "off", None, "go", 0, "age", enabled=False)]
-    return catalog.rule_health(analysis.rule_table(spark, odd))
+    return catalog.rule_health(analysis.rule_table(spark, HEALTH))
 
 
-@query("SELECT CAST(8 AS BIGINT) AS total, CAST(8 AS BIGINT) AS enabled, CAST(0 AS BIGINT) AS disabled, CAST(2 AS BIGINT) AS groups")
+@query(f"SELECT count(*) AS total, count(*) FILTER (enabled) AS enabled, count(*) FILTER (NOT enabled) AS disabled, count(DISTINCT grp) FILTER (grp <> '') AS groups FROM {values([(r.id, r.enabled, r.group) for r in HEALTH], 'rule_id, enabled, grp')}")
 def dashboard_counts(spark, d):
-    return analytics.dashboard(analysis.rule_table(spark, SET))
+    return analytics.dashboard(analysis.rule_table(spark, HEALTH))
 
 
 SDK = sdk.Ruleset("orders", (sdk.Rule("big", (sdk.RuleCondition("o_totalprice", "gte", 200000),), ("review", "hold"), 5), sdk.Rule("final", (sdk.RuleCondition("o_orderstatus", "eq", "F"), sdk.RuleCondition("o_totalprice", "lt", 250000)), ("archive",), 5)))
