@@ -334,7 +334,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "do
 
     found = base.select("text").mapInArrow(partial(_prefixes, size=size, n=n, percent=percent, order=order), "bucket int, kind int, blob binary")
     groups = stored(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "g long, node long, n long"))
-    wanted = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    wanted = rows.join(groups.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     sketch = partial(_texts, size=size, n=n, percent=percent, order=order)
     # joined by exchange at every size; rows repeated whole then lie side by side
     texts = base.select("row_key", "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"]).select("node", "text")
@@ -402,15 +402,18 @@ def _open(groups: DataFrame, label: DataFrame, first: bool) -> tuple[DataFrame,
 
     Large groups whose nodes have the same smallest hash become one in the first round: those of a family of copies are many.
     """
-    rows = groups.join(label, "node")
+    whole = (lambda df: df.hint("merge")) if first else (lambda df: df)  # the first round is large at every size
+    rows = groups.withColumn("label", F.col("node")) if first else groups.join(label, "node")
     sign = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in range(2)]
     head = F.min(F.struct(F.xxhash64("node", F.lit(9)).alias("h"), "node")).alias("head")
     sets = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), *sign, head, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     sets = stored(sets.groupBy("k", "s0", "s1").agg(F.min("g").alias("g"), F.min("head.node").alias("head")).select("g", "k", "head"), tidy=False)
-    small = stored(rows.join(sets.where(F.col("k") <= SMALL).select("g"), "g").select("g", "node", "n", "label"), tidy=False)
-    large = rows.join(sets.where(F.col("k") > SMALL), "g").select(F.col("head" if first else "g").alias("g"), "node", "n")
+    own = stored(rows.join(whole(sets), "g").select("g", "node", "n", "label", "k", "head"), tidy=False)
+    small = whole(own.where(F.col("k") <= SMALL).select("g", "node", "n", "label"))
+    large = own.where(F.col("k") > SMALL).select(F.col("head" if first else "g").alias("g"), "node", "n")
     large = stored(large.groupBy("g", "node").agg(F.first("n").alias("n")), tidy=False)
     discard(sets)
+    small.stored_at = own.stored_at
     return small, large
 
 
