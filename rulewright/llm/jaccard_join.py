@@ -102,12 +102,11 @@ class Common:
         return out
 
 
-def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int, size: int | None = None) -> np.ndarray:
-    """The tokens that come first under an order, as many as a set of that Jaccard must share one of; size: that of the set, if
-    tokens are only a part of it."""
-    n = len(tokens) if size is None else size
-    keep = n - -(-percent * n // 100) + 1
-    if len(tokens) <= keep and (size is not None or not n):
+def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int, keep: int | None = None) -> np.ndarray:
+    """The tokens that come first under an order, as many as a set of that Jaccard must share one of, or ``keep``."""
+    if keep is None:
+        keep = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    if len(tokens) <= keep:
         return tokens
     rare = tokens[late == 0]
     if len(rare) >= keep:
@@ -287,12 +286,13 @@ def _pivots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _measured(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """(g, node, n, common with the pivot, the pivot's size, first tokens outside the pivot) of nodes with their group's pivot."""
+    """(g, node, n, least n of the group, common with the pivot, the pivot's size, first tokens outside the pivot) of nodes with
+    their group's pivot. A node that links with one of ``least`` tokens or more shares so many that few first tokens are enough."""
     common = order.value
     longs = pa.list_(pa.int64())
     for b in batches:
         buf, starts = flat(b.column("text"))
-        pivots = b.column("pivot")
+        pivots, least = b.column("pivot"), b.column("least").to_pylist()
         inter, of, outside = [], [], []
         row = 0
         for i, j in pieces(starts):
@@ -302,9 +302,10 @@ def _measured(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int
                 rest = np.setdiff1d(tokens, pivot, assume_unique=True)
                 inter.append(len(tokens) - len(rest))
                 of.append(len(pivot))
-                outside.append(prefix(rest, ORDERS[0], common.late(rest, n), percent, len(tokens)).view(np.int64))
+                shared = -(-percent * (len(tokens) + least[row]) // (100 + percent))
+                outside.append(prefix(rest, ORDERS[0], common.late(rest, n), percent, len(tokens) - shared + 1).view(np.int64))
                 row += 1
-        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("node"), b.column("n"), pa.array(inter, pa.int64()), pa.array(of, pa.int64()), pa.array(outside, longs)], names=["g", "node", "n", "both", "of", "outside"])
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("node"), b.column("n"), b.column("least"), pa.array(inter, pa.int64()), pa.array(of, pa.int64()), pa.array(outside, longs)], names=["g", "node", "n", "least", "both", "of", "outside"])
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -374,7 +375,7 @@ def _merge(groups: DataFrame, texts: DataFrame, size: int, percent: int, measure
         old, near = near, None
         if large.limit(1).count():
             rows = _with_pivots(large, texts, size, measure)
-            near = rows.join(rows.groupBy("g").agg(F.min("n").alias("least")), "g").where(_enough(F.col("both"), F.col("n") + F.col("least"), percent)).select("g", "node", "n", "both", "of")
+            near = rows.where(_enough(F.col("both"), F.col("n") + F.col("least"), percent)).select("g", "node", "n", "both", "of")
             near = stored(near, tidy=False)
             links = links.unionByName(_sure_links(near, percent))
             groups = stored(rows.select(F.explode("outside").alias("token"), "g", "node", "n").select(F.xxhash64("g", "token").alias("g"), "node", "n"), tidy=False)
@@ -454,14 +455,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def _with_pivots(large: DataFrame, texts: DataFrame, size: int, measure) -> DataFrame:
     text = texts.select("node", "text")
-    sizes = large.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    sizes = large.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
     voters = large.join(sizes, "g").where(F.pmod(F.xxhash64("node", F.lit(11)), "k") < VOTERS).select("g", "node")
     pivots = voters.join(text, "node").select("g", "text").repartition("g").sortWithinPartitions("g").mapInArrow(partial(_pivots, size=size), "g long, pivot array<long>")
-    made = pivots = stored(pivots, tidy=False)
-    if (pivots.agg(F.sum(F.size("pivot"))).head()[0] or 0) <= PIVOTS:
+    made = pivots = stored(sizes.join(pivots, "g", "left").select("g", "least", "pivot"), tidy=False)
+    if (pivots.agg(F.sum(F.greatest(F.size("pivot"), F.lit(1)))).head()[0] or 0) <= PIVOTS:
         pivots = F.broadcast(pivots)
-    rows = large.join(text, "node").join(pivots, "g", "left").select("g", "node", "n", "text", "pivot")
-    rows = stored(rows.mapInArrow(measure, "g long, node long, n long, both long, of long, outside array<long>"), tidy=False)
+    rows = large.join(text, "node").join(pivots, "g").select("g", "node", "n", "least", "text", "pivot")
+    rows = stored(rows.mapInArrow(measure, "g long, node long, n long, least long, both long, of long, outside array<long>"), tidy=False)
     discard(made)
     return rows
 
