@@ -21,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_WINDOWS = 500_000
 #: Characters of these windows up to which they are broadcast themselves, to verify hits.
 BROADCAST_CHARS = 64 << 20
+#: Documents with hits up to which their keys, 8 bytes each, are broadcast, so that no text is exchanged to find them.
+BROADCAST_KEYS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -46,6 +48,11 @@ def _windows(n: int) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice("h", i + 1, n)).alias("hash")))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def hits(docs: DataFrame, bench: DataFrame, size: int = 13, item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
     """(row_key, at, len, item_id) of every verified occurrence of a benchmark window; docs: (row_key, text)."""
     grams = stored(benchmark_windows(bench, size, item_col, bench_text), tidy=False)
@@ -60,7 +67,7 @@ def hits(docs: DataFrame, bench: DataFrame, size: int = 13, item_col: str = "ite
     all_ = _windows(lengths[0]) if len(lengths) == 1 else F.flatten(F.array(*(_windows(n) for n in lengths)))
     found = hashed.select("row_key", F.inline(all_)).join(table, "hash", "left_semi")
     found = stored(found.groupBy("row_key").agg(F.collect_set(F.struct("at", "len", "hash")).alias("found")), tidy=False)
-    again = docs.join(found.select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
+    again = docs.join(_few(found.select("row_key")), "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
     again = again.join(found, "row_key").select("row_key", words(F.col("text")).alias("w"), "found")
     spelled = again.select("row_key", F.inline(F.expr("transform(found, x -> struct(x.at as at, x.len as len, x.hash as hash, slice(w, x.at + 1, x.len) as words))")))
     return spelled.join(full, "hash").where(F.col("words") == F.col("gram")).select("row_key", "at", "len", "item_id")
@@ -103,8 +110,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, action: str = "documents",
     judged = contamination(docs, bench, size, percent)
     whole = docs.select(_key("doc_id", "text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     if action == "documents":
-        bad = judged.where("contaminated").select(F.col("row_key").alias("key")).distinct()
-        return whole.join(bad, "key", "left_anti").select("row.*")
+        bad = stored(judged.where("contaminated").select(F.col("row_key").alias("key")).distinct(), tidy=False)
+        return whole.join(_few(bad), "key", "left_anti").select("row.*")
     spans = judged.where("n_hit > 0").groupBy(F.col("row_key").alias("key")).agg(F.first("spans").alias("spans"))
     out = whole.join(spans, "key", "left").select("row", "spans", F.col("row.text").cast("string").alias("text"))
     out = out.select("row", "spans", "text", F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0)).alias("w"), F.split("text", ANY_WORD, -1).alias("gap"))

@@ -86,7 +86,7 @@ def test_jaccard_classes(docs):
     assert jaccard_join.jaccard_classes(empty(docs)).count() == 0
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, monkeypatch, docs):
     texts = [r.text for r in docs.where("doc_id in (5, 6)").orderBy("doc_id").collect()]
     bench = spark.createDataFrame([(10, " ".join(texts[0].split()[5:25])), (9, "one TWO three"), (2, None), (3, "..."), (None, prose(15))], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
@@ -99,6 +99,9 @@ def test_decontamination(spark, docs):
     assert [r.text for r in decontaminate.decontaminate(odd, bench, "spans").orderBy("doc_id").collect()] == ["(Keep, this!)  and  Ünd THAT.", None]
     assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty(docs), bench).count() == 0
+    for bound in ("BROADCAST_WINDOWS", "BROADCAST_KEYS"):  # the same by exchange
+        monkeypatch.setattr(decontaminate, bound, -1)
+    assert {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()} == got and decontaminate.decontaminate(docs, bench).count() == docs.count() - 2
 
 
 def test_mixing(spark, docs):
