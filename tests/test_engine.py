@@ -233,3 +233,42 @@ def test_compiled_rules_are_kept_for_a_while(monkeypatch):
     assert matcher.compile_rules([Rule(99, "r", leaf("x", ">", 1))]) is not one
     matcher.invalidate()
     assert not matcher._CACHE
+
+
+def join_rows(df):
+    """The most rows that a join of the plan made when the result was collected."""
+    df.collect()
+    most = [0]
+
+    def walk(p):
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most.append(p.metrics().apply("numOutputRows").value())
+        inner = [p.finalPhysicalPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if p.nodeName().endswith("QueryStage") else []
+        for child in [p.children().apply(i) for i in range(p.children().size())] + inner:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(most)
+
+
+def _ranges(n, width):
+    """n rules of one group: x from i to i + width, or y == i modulo 50."""
+    tree = lambda i: {"type": "group", "op": "OR", "children": [{"type": "group", "op": "AND", "children": [leaf("x", ">=", i), leaf("x", "<", i + width), leaf("t", "==", "ab"[i % 2])]}, leaf("y", "==", i % 50)]}
+    return [Rule(i, f"r{i}", tree(i), str(i % 3), 0, "g") for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [1 << 14, 300])
+def test_conflicts_make_rows_of_pairs_that_conflict_alone(spark, monkeypatch, block):
+    from rulewright.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    n, width = 400, 4
+    got = analysis.conflicts(analysis.constraints(spark, _ranges(n, width)))
+    wanted = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            f = [("t,x", j - i < width and i % 2 == j % 2), ("y", i % 50 == j % 50)]
+            if i % 3 != j % 3 and any(ok for _, ok in f):
+                wanted.add((i, j, "g", ",".join(x for x, ok in f if ok)))
+    assert set(map(tuple, got.collect())) == wanted and got.count() == len(wanted)
+    assert join_rows(got) <= 20 * n
