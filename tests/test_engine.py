@@ -272,3 +272,24 @@ def test_conflicts_make_rows_of_pairs_that_conflict_alone(spark, monkeypatch, bl
                 wanted.add((i, j, "g", ",".join(x for x, ok in f if ok)))
     assert set(map(tuple, got.collect())) == wanted and got.count() == len(wanted)
     assert join_rows(got) <= 20 * n
+
+
+def test_redundancies_hold_each_branch_in_one_of_the_other_rule(spark):
+    """Against every pair of rules: one and two branches, equal rules, the first in order, and rules that nothing else holds."""
+    box = lambda i: (i % 7, i % 7 + i % 4, i % 5)
+    trees, branches = [], []
+    for i in range(120):
+        low, high, y = box(i * i)
+        inner = [leaf("x", ">=", low), leaf("x", "<", high + 1), leaf("c", "==", "ab"[i % 2])]
+        one = group("AND", *inner) if i % 3 else group("OR", group("AND", *inner), group("AND", leaf("y", ">", y), leaf("y", "<=", y + i % 2 + 1)))
+        trees.append(Rule(1000 - i, f"r{i}", one, "p", 0, "g"))
+        branches.append([("x", "ab"[i % 2], low, high + 1)] + ([] if i % 3 else [("y", "", y, y + i % 2 + 1)]))
+    held = lambda a, b: all(any(x[:2] == y[:2] and y[2] <= x[2] and y[3] >= x[3] for y in b) for x in a)
+    wanted = {}
+    for i, a in enumerate(branches):
+        first = next((j for j, b in enumerate(branches) if i != j and held(a, b)), None)
+        if first is not None:
+            wanted[1000 - i] = 1000 - first
+    assert 0 < len(wanted) < len(trees)
+    assert dict(map(tuple, analysis.redundancies(analysis.constraints(spark, trees)).collect())) == wanted
+    assert not analysis.redundancies(analysis.constraints(spark, trees[:1])).count()
