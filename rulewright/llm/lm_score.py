@@ -37,6 +37,7 @@ HEAD = 1 << 16  # words whose counts are broadcast; no count is left out, those
 STEP_TOKENS = 4096
 ROUNDS = 2
 CHUNK = 4096
+LEAST = float(np.log(1e-30))  # of a token's log-probabilities
 #: Parts in which weights are averaged before these averages are.
 FAN = 64
 
@@ -79,11 +80,20 @@ def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place. Bounds on z stand for its greatest value, which would be a slow pass: within them no sum overflows."""
-    np.clip(z, -60, 60, out=z)
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """In place. Bounds on z stand for its greatest value, which would be a slow pass: within them no sum of powers overflows."""
+    return np.clip(z, -60, 60, out=z)
+
+
+def _sums_of_powers(z: np.ndarray) -> np.ndarray:
+    """By row; z becomes its powers."""
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z /= _sums_of_powers(z)[:, None]
     return z
 
 
@@ -94,32 +104,47 @@ def by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
 
 
-def forward(w: Weights, tokens: np.ndarray, around: np.ndarray, cut: np.ndarray):
-    """Embeddings around each token side by side, hidden layer and both levels of probabilities of tokens that stand by class."""
-    parts = w.embed.take(around.ravel(), axis=0).reshape(len(tokens), 2 * SIDE * DIM)
-    hidden = parts @ w.mix.reshape(2 * SIDE * DIM, DIM)
+def mapped(w: Weights) -> np.ndarray:
+    """Each embedding mapped for each place around a token: a table of all ids costs less than a product for each token."""
+    return np.matmul(w.embed, w.mix)
+
+
+def logits(w: Weights, table: np.ndarray, tokens: np.ndarray, around: np.ndarray, cut: np.ndarray):
+    """Hidden layer and logits of both levels, bounded, of tokens that stand by class. table: mapped(w)."""
+    hidden = table[0].take(around[:, 0], axis=0)
+    for k in range(1, 2 * SIDE):
+        hidden += table[k].take(around[:, k], axis=0)
     hidden += w.bias
     np.tanh(hidden, out=hidden)
-    p_top = _softmax(hidden @ w.top + w.top_bias)
+    top = hidden @ w.top
+    top += w.top_bias
     low = np.empty((len(tokens), WITHIN), np.float32)
     for c in range(CLASSES):
         rows = slice(cut[c], cut[c + 1])
         if cut[c] < cut[c + 1]:
             np.matmul(hidden[rows], w.low[c], out=low[rows])
             low[rows] += w.low_bias[c]
-    return parts, hidden, p_top, _softmax(low)
+    return hidden, _bounded(top), _bounded(low)
+
+
+def forward(w: Weights, tokens: np.ndarray, around: np.ndarray, cut: np.ndarray):
+    """The mapped embeddings, hidden layer and both levels of probabilities of tokens that stand by class."""
+    table = mapped(w)
+    hidden, top, low = logits(w, table, tokens, around, cut)
+    return table, hidden, _softmax(top), _softmax(low)
 
 
 def log_probs(w: Weights, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Log-probability of every token given the tokens around it."""
     out = np.empty(len(tokens))
-    around = contexts(tokens, starts)
+    around, table = contexts(tokens, starts), mapped(w)
     for a in range(0, len(tokens), 2 * STEP_TOKENS):
         t = tokens[a : a + 2 * STEP_TOKENS]
         order, cut = by_class(t)
         t, i = t[order], np.arange(len(t))
-        _, _, p_top, p_low = forward(w, t, around[a : a + len(t)][order], cut)
-        out[a + order] = np.log(np.maximum(p_top[i, t // WITHIN] * p_low[i, t % WITHIN], 1e-30))
+        _, top, low = logits(w, table, t, around[a : a + len(t)][order], cut)
+        own = top[i, t // WITHIN] + low[i, t % WITHIN]
+        out[a + order] = np.maximum(own - np.log(_sums_of_powers(top)) - np.log(_sums_of_powers(low)), LEAST)
     return out
 
 
@@ -128,7 +153,7 @@ def train_step(w: Weights, memory: np.ndarray, tokens: np.ndarray, around: np.nd
     n = len(tokens)
     order, cut = by_class(tokens)
     tokens, around = tokens[order], around[order]
-    parts, hidden, p_top, p_low = forward(w, tokens, around, cut)
+    _, hidden, p_top, p_low = forward(w, tokens, around, cut)
     g = Weights(np.zeros_like(w.flat))
     i = np.arange(n)
     p_top[i, tokens // WITHIN] -= 1
@@ -151,8 +176,9 @@ def train_step(w: Weights, memory: np.ndarray, tokens: np.ndarray, around: np.nd
         by = np.argsort(seen, kind="stable")
         seen = seen[by]
         first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-        g.embed[seen[first]] += np.add.reduceat(back.take(by, axis=0), first, axis=0) @ w.mix[k].T
-    g.mix[:] = (parts.T @ back).reshape(g.mix.shape)
+        ids, total = seen[first], np.add.reduceat(back.take(by, axis=0), first, axis=0)
+        g.embed[ids] += total @ w.mix[k].T
+        g.mix[k] = w.embed[ids].T @ total
     g.flat /= n
     memory += g.flat * g.flat
     w.flat -= rate * g.flat / (np.sqrt(memory) + 1e-6)

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,3 +397,32 @@ def test_jaccard_classes_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "COMMON", 4)
     got = [tuple(r) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(brute_classes(rows))
+
+
+def test_lm_score_maps_embeddings_before_tokens_take_them():
+    """The hidden layer is that of embeddings side by side, and gradients are those of differences."""
+    w, rng = lm_score.Weights(), np.random.default_rng(3)
+    w.bias[:] = rng.standard_normal(lm_score.DIM)
+    tokens = rng.integers(0, lm_score.VOCABULARY, 300)
+    tokens[:60] = 70
+    starts = np.array([0, 200, 200, 300])
+    order, cut = lm_score.by_class(tokens)
+    around = lm_score.contexts(tokens, starts)[order]
+    table = lm_score.mapped(w)
+    hidden, top, low = lm_score.logits(w, table, tokens[order], around, cut)
+    side = w.embed[around].reshape(300, -1) @ w.mix.reshape(-1, lm_score.DIM) + w.bias
+    assert np.allclose(hidden, np.tanh(side), atol=1e-5)
+    _, _, p_top, p_low = lm_score.forward(w, tokens[order], around, cut)
+    t, i = tokens[order], np.arange(300)
+    wanted = np.log(p_top[i, t // lm_score.WITHIN] * p_low[i, t % lm_score.WITHIN])
+    assert np.allclose(lm_score.log_probs(w, tokens, starts)[order], wanted, atol=1e-4)
+    moved, memory = lm_score.Weights(w.flat.copy()), np.zeros_like(w.flat)
+    lm_score.train_step(moved, memory, tokens, lm_score.contexts(tokens, starts), 0.0)
+    slope = lm_score.Weights(np.sqrt(memory))  # squared gradients of one step
+    for name, at in (("mix", (1, 3, 5)), ("embed", (70, 4))):
+        near = []
+        for step in (1e-2, -1e-2):
+            other = lm_score.Weights(w.flat.copy())
+            getattr(other, name)[at] += step
+            near.append(lm_score.log_probs(other, tokens, starts).mean())
+        assert abs(abs(near[0] - near[1]) / 2e-2 - getattr(slope, name)[at]) < 1e-3
