@@ -302,7 +302,8 @@ def _measured(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int
                 rest = np.setdiff1d(tokens, pivot, assume_unique=True)
                 inter.append(len(tokens) - len(rest))
                 of.append(len(pivot))
-                shared = -(-percent * (len(tokens) + least[row]) // (100 + percent))
+                other = max(least[row], -(-percent * len(tokens) // 100))  # a set that links has no fewer
+                shared = -(-percent * (len(tokens) + other) // (100 + percent))
                 outside.append(prefix(rest, ORDERS[0], common.late(rest, n), percent, len(tokens) - shared + 1).view(np.int64))
                 row += 1
         yield pa.RecordBatch.from_arrays([b.column("g"), b.column("node"), b.column("n"), b.column("least"), pa.array(inter, pa.int64()), pa.array(of, pa.int64()), pa.array(outside, longs)], names=["g", "node", "n", "least", "both", "of", "outside"])

@@ -399,6 +399,16 @@ def test_jaccard_classes_in_large_groups(spark, monkeypatch):
     assert sorted(got) == sorted(brute_classes(rows))
 
 
+def test_a_small_set_in_a_group_leaves_first_tokens_of_large_ones_few(monkeypatch):
+    """What links with a set has three quarters of its tokens at least, however small the smallest of the group is."""
+    words = " ".join(f"w{i}" for i in range(104))  # 100 shingles
+    cells = [pa.array([1]), pa.array([2]), pa.array([100]), pa.array([3]), pa.array([words]), pa.array([[]], pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(cells, names=["g", "node", "n", "least", "text", "pivot"])
+    order = type("Sent", (), {"value": jaccard_join.Common(np.zeros(0, np.uint64), np.zeros(0, np.int64))})
+    (got,) = jaccard_join._measured(iter([batch]), 5, 1, 75, order)
+    assert len(got.column("outside")[0]) == 100 - 75 + 1
+
+
 def test_lm_score_maps_embeddings_before_tokens_take_them():
     """The hidden layer is that of embeddings side by side, and gradients are those of differences."""
     w, rng = lm_score.Weights(), np.random.default_rng(3)
