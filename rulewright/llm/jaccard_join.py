@@ -7,12 +7,13 @@ only if the prefixes under each other order share a token too, which is tested o
 is left is verified on the whole sets.
 
 Equal sets are one node, and groups of the same nodes are one group. Pairs are spelled out in groups of at most ``SMALL`` nodes
-alone. A larger group, which may hold a third of all rows, gets a pivot: the tokens that over a quarter of some of its nodes have. For any
+alone. A larger group, which may hold a third of all rows, gets a pivot: the tokens that over a quarter of some of its nodes have
+(the core), and in a family, where most are near the core, also those that several have, so that what is outside is shared by few. For any
 set ``c``: if all that x and y share is in ``c``, then |x & y| is at most |x & c| and |y & c|. So two nodes link only if
 
 * they share a token outside the pivot, and then also among the first ``n - ceil(t n) + 1`` of those: such tokens form the
-  groups of the next round; or
-* both hold so much of the pivot that it would do (``near``). Where what x and y miss of the pivot together leaves enough, both
+  groups of the next round, those alone that several nodes of the group have; or
+* both hold so much of the pivot that it would do (``near``). Where what x and y miss of the core together leaves enough, both
   surely link with the node that misses least among those no larger than either, so links to these few nodes stand for such
   pairs. Near nodes that are then in another class than most of their group are compared with its near nodes one by one.
 
@@ -42,7 +43,9 @@ BITS = 2048
 #: Nodes of a group up to which its pairs are spelled out. Any choice gives the same links.
 SMALL = 12
 #: Nodes of a larger group that its pivot is made from, about.
-VOTERS = 64
+VOTERS = 256
+#: Tokens of a pivot, as a multiple of the voters' mean, up to which a family's takes in what several voters have.
+WIDE = 2
 #: Tokens of all pivots up to which they are broadcast, 8 bytes each; beyond, they are joined by exchange.
 PIVOTS = 1 << 21
 #: Tokens that a verifying task holds of nodes it may meet again.
@@ -58,11 +61,20 @@ def shingle_sets(buf: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndar
     for k in range(size):
         total += h[k : k + len(total)] * keys[k]
     total = mix(total)
+    begin, end = at[:-1], at[:-1] + np.maximum(count - size + 1, 0)  # shingles that cross from text to text lie between
+    spans = list(zip(begin.tolist(), end.tolist(), strict=True))
+    for a, b in spans:
+        total[a:b].sort()
+    fresh = np.ones(len(total), bool)
+    fresh[1:] = total[1:] != total[:-1]
+    fresh[begin[begin < end]] = True
+    again = np.flatnonzero(~fresh)
+    repeats = (np.searchsorted(again, begin) < np.searchsorted(again, end)).tolist()
     out = []
     for i, n in enumerate(count.tolist()):
-        a = at[i]
+        a, b = spans[i]
         if n >= size:
-            out.append(np.unique(total[a : a + n - size + 1]))
+            out.append(total[a:b][fresh[a:b]] if repeats[i] else total[a:b])
         elif n:
             own = U(n)
             with np.errstate(over="ignore"):
@@ -89,18 +101,24 @@ class Common:
         by = np.argsort(keys)
         self.keys, self.level = keys[by], level[by].astype(np.int64)
         self.bits = np.zeros(1 << 22, bool)
-        self.bits[(mix(self.keys) >> U(42)).astype(np.int64)] = True
+        self.bits[(self.keys & U(0xFFFFFFFF)) >> U(10)] = True  # the highest bits of a token
 
     def late(self, tokens: np.ndarray, n: int) -> np.ndarray:
         """How far back each token comes in all orders: its level, 0 for a token that is not common."""
         out = np.zeros(len(tokens), np.int64)
         if len(self.keys):
-            key = _token_key(tokens, n)
-            may = np.flatnonzero(self.bits[(mix(key) >> U(42)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
-            out[may] = np.where(self.keys[at] == key[may], self.level[at], 0)
+            may = np.flatnonzero(self.bits[(tokens >> U(42)).view(np.int64)])
+            key = _token_key(tokens[may], n)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[may] = np.where(self.keys[at] == key, self.level[at], 0)
         return out
 
+    def each(self, sets: list[np.ndarray], n: int) -> list[np.ndarray]:
+        """late() of several sets, in one step."""
+        ends = np.cumsum([len(t) for t in sets]).tolist()
+        out = self.late(np.concatenate(sets), n)
+        return [out[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
 
 def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int, keep: int | None = None) -> np.ndarray:
     """The tokens that come first under an order, as many as a set of that Jaccard must share one of, or ``keep``."""
@@ -110,14 +128,14 @@ def prefix(tokens: np.ndarray, order: int, late: np.ndarray, percent: int, keep:
         return tokens
     rare = tokens[late == 0]
     if len(rare) >= keep:
-        return rare[:keep] if not order else rare[np.argpartition(mix(rare ^ U(order)), keep - 1)[:keep]]
-    by = mix(tokens ^ U(order)) if order else tokens
+        return rare[:keep] if not order else rare[np.argpartition(rare * U(order | 1), keep - 1)[:keep]]
+    by = tokens * U(order | 1) if order else tokens
     return tokens[np.lexsort((by, late))[:keep]]
 
 
 def parity(tokens: np.ndarray) -> list[int]:
     """BITS parities of hashed tokens as 64-bit words: two sets differ in at least as many tokens as their words in bits."""
-    count = np.bincount((mix(tokens ^ U(0x3C6EF372FE94F82B)) & U(BITS - 1)).astype(np.int64), minlength=BITS)
+    count = np.bincount(((tokens >> U(20)) & U(BITS - 1)).view(np.int64), minlength=BITS)  # tokens are hashes
     return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -188,12 +206,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int
     for b in batches:
         buf, starts = flat(b.column(0))
         for i, j in pieces(starts):
-            for tokens in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
+            sets = shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
+            for tokens, late in zip(sets, common.each(sets, n), strict=True):
                 node = node_of(tokens)
                 if not len(tokens) or node in seen:
                     continue
                 seen.add(node)
-                held.append((prefix(tokens, ORDERS[0], common.late(tokens, n), percent), node, len(tokens)))
+                held.append((prefix(tokens, ORDERS[0], late, percent), node, len(tokens)))
                 total += len(held[-1][0])
             if total >= FLUSH:
                 yield from _sent(held, few, rest, n)
@@ -235,17 +254,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
     """Beside each node's text its parities and, for each order but the first, its prefix as 32-bit hashes."""
     common = order.value
-    ints = pa.list_(pa.int32())
     for b in batches:
         buf, starts = flat(b.column(1))
         bits, first = [], [[] for _ in ORDERS[1:]]
         for i, j in pieces(starts):
-            for t in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
-                late = common.late(t, n)
+            sets = shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
+            for t, late in zip(sets, common.each(sets, n), strict=True):
                 bits.append(parity(t))
                 for o, to in zip(ORDERS[1:], first, strict=True):
-                    to.append((mix(prefix(t, o, late, percent)) >> U(32)).astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64())), *(pa.array(x, ints) for x in first)], names=["node", "text", "bits", *(f"first{k}" for k in range(1, len(ORDERS)))])
+                    to.append(prefix(t, o, late, percent).astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(bits, pa.int64()), *(_lists(x, pa.int32()) for x in first)], names=["node", "text", "bits", *(f"first{k}" for k in range(1, len(ORDERS)))])
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -273,40 +296,82 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
             known, held = {}, 0
 
 
-def _pivots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Of each group, the tokens that over a quarter of its voters have, sorted."""
+def _pivots(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each group, the tokens that over a quarter of its voters have (core), and those with what else is its pivot; both sorted."""
+    longs = pa.list_(pa.int64())
     for g, group in by_key(batches, "g"):
-        held = []
+        held, least = [], group[0].column("least")[0].as_py()
         for b in group:
             buf, starts = flat(b.column("text"))
             for i, j in pieces(starts):
                 held += shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
-        tokens, count = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([tokens[4 * count > len(held)].view(np.int64)], pa.list_(pa.int64()))], names=["g", "pivot"])
+        tokens, at, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        own = 4 * count > len(held)
+        core = tokens[own]
+        sizes = np.array([len(x) for x in held])
+        both = np.bincount(np.repeat(np.arange(len(held)), sizes), own[at], len(held))
+        if 4 * np.count_nonzero(_enough(both, sizes + least, percent)) >= 3 * len(held):
+            # a family: near nodes are nearly all by the core already, so that more tokens add few pairs to compare
+            more = np.flatnonzero(~own & (count > 1))
+            more = more[np.argsort(-count[more], kind="stable")[: max(0, int(WIDE * sizes.mean()) - len(core))]]
+            own[more] = True
+        cells = [pa.array([x.view(np.int64)], longs) for x in (core, tokens[own])]
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *cells], names=["g", "core", "pivot"])
 
 
 def _measured(batches: Iterator[pa.RecordBatch], size: int, n: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """(g, node, n, least n of the group, common with the pivot, the pivot's size, first tokens outside the pivot) of nodes with
-    their group's pivot. A node that links with one of ``least`` tokens or more shares so many that few first tokens are enough."""
+    """(g, node, n, least n of the group, common with the pivot, common with its core, the core's size, first tokens outside the
+    pivot) of nodes with their group's pivot. A node that links with one of ``least`` tokens or more shares so many that few first
+    tokens are enough. Without a core the pivot is one."""
     common = order.value
     longs = pa.list_(pa.int64())
     for b in batches:
         buf, starts = flat(b.column("text"))
         pivots, least = b.column("pivot"), b.column("least").to_pylist()
-        inter, of, outside = [], [], []
+        cores = b.column("core") if "core" in b.schema.names else pivots
+        inter, of_core, of, outside = [], [], [], []
         row = 0
         for i, j in pieces(starts):
-            for tokens in shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size):
-                own = pivots[row]
-                pivot = own.values.to_numpy(zero_copy_only=False).view(np.uint64) if own.is_valid else np.zeros(0, np.uint64)
-                rest = np.setdiff1d(tokens, pivot, assume_unique=True)
-                inter.append(len(tokens) - len(rest))
-                of.append(len(pivot))
+            sets = shingle_sets(buf[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
+            for tokens, late in zip(sets, common.each(sets, n), strict=True):
+                pivot, core = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in (pivots[row], cores[row]))
+                rest = ~_among(tokens, pivot)
+                inter.append(len(tokens) - np.count_nonzero(rest))
+                of_core.append(np.count_nonzero(_among(tokens, core)))
+                of.append(len(core))
                 other = max(least[row], -(-percent * len(tokens) // 100))  # a set that links has no fewer
                 shared = -(-percent * (len(tokens) + other) // (100 + percent))
-                outside.append(prefix(rest, ORDERS[0], common.late(rest, n), percent, len(tokens) - shared + 1).view(np.int64))
+                outside.append(prefix(tokens[rest], ORDERS[0], late[rest], percent, len(tokens) - shared + 1).view(np.int64))
                 row += 1
-        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("node"), b.column("n"), b.column("least"), pa.array(inter, pa.int64()), pa.array(of, pa.int64()), pa.array(outside, longs)], names=["g", "node", "n", "least", "both", "of", "outside"])
+        counts = (pa.array(x, pa.int64()) for x in (inter, of_core, of))
+        names = ["g", "node", "n", "least", "both", "both_core", "of", "outside"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), *counts, _lists(outside, pa.int64())], names=names)
+
+
+def _among(tokens: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which tokens are among sorted others."""
+    if not len(others):
+        return np.zeros(len(tokens), bool)
+    return others[np.minimum(np.searchsorted(others, tokens), len(others) - 1)] == tokens
+
+
+def _outside(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """First tokens outside the pivots as (token of a group, node, size) by bucket, for _groups(): a hash of both is the token."""
+    few, rest = Sender(["u8", "i8", "u4"]), Sender(["u8", "i8", "u4"])
+    held: list[tuple[np.ndarray, int, int]] = []
+    total = 0
+    for b in batches:
+        tokens = b.column("outside")
+        of = mix(b.column("g").to_numpy().view(np.uint64))
+        cut = tokens.offsets.to_numpy()
+        flat_ = mix(tokens.values.to_numpy().view(np.uint64) ^ np.repeat(of, np.diff(cut)))
+        for i, (node, num) in enumerate(zip(b.column("node").to_pylist(), b.column("n").to_pylist(), strict=True)):
+            held.append((flat_[cut[i] : cut[i + 1]], node, num))
+        total += len(flat_)
+        if total >= FLUSH:
+            yield from _sent(held, few, rest, n)
+            held, total = [], 0
+    yield from _sent(held, few, rest, n)
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -375,11 +440,13 @@ def _merge(groups: DataFrame, texts: DataFrame, size: int, percent: int, measure
         links = _verified(pairs, texts.hint("merge") if first else texts, size, percent)  # the first round has pairs of most texts
         old, near = near, None
         if large.limit(1).count():
-            rows = _with_pivots(large, texts, size, measure)
-            near = rows.where(_enough(F.col("both"), F.col("n") + F.col("least"), percent)).select("g", "node", "n", "both", "of")
+            rows = _with_pivots(large, texts, size, percent, measure)
+            near = rows.where(_enough(F.col("both"), F.col("n") + F.col("least"), percent)).select("g", "node", "n", "both", "both_core", "of")
             near = stored(near, tidy=False)
             links = links.unionByName(_sure_links(near, percent))
-            groups = stored(rows.select(F.explode("outside").alias("token"), "g", "node", "n").select(F.xxhash64("g", "token").alias("g"), "node", "n"), tidy=False)
+            n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            sent = rows.select("g", "node", "n", "outside").mapInArrow(partial(_outside, n=n), "bucket int, kind int, blob binary")
+            groups = stored(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "g long, node long, n long"), tidy=False)
             spent.append(groups)
             discard(rows)
         new = _joined(label, links)
@@ -454,29 +521,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return links
 
 
-def _with_pivots(large: DataFrame, texts: DataFrame, size: int, measure) -> DataFrame:
+def _with_pivots(large: DataFrame, texts: DataFrame, size: int, percent: int, measure) -> DataFrame:
     text = texts.select("node", "text")
     sizes = large.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
-    voters = large.join(sizes, "g").where(F.pmod(F.xxhash64("node", F.lit(11)), "k") < VOTERS).select("g", "node")
-    pivots = voters.join(text, "node").select("g", "text").repartition("g").sortWithinPartitions("g").mapInArrow(partial(_pivots, size=size), "g long, pivot array<long>")
-    made = pivots = stored(sizes.join(pivots, "g", "left").select("g", "least", "pivot"), tidy=False)
-    if (pivots.agg(F.sum(F.greatest(F.size("pivot"), F.lit(1)))).head()[0] or 0) <= PIVOTS:
+    voters = large.join(sizes, "g").where(F.pmod(F.xxhash64("node", F.lit(11)), "k") < VOTERS).select("g", "least", "node")
+    pivots = voters.join(text, "node").select("g", "least", "text").repartition("g").sortWithinPartitions("g").mapInArrow(partial(_pivots, size=size, percent=percent), "g long, core array<long>, pivot array<long>")
+    made = pivots = stored(sizes.join(pivots, "g", "left").select("g", "least", "core", "pivot"), tidy=False)
+    if (pivots.agg(F.sum(F.greatest(F.size("core") + F.size("pivot"), F.lit(1)))).head()[0] or 0) <= PIVOTS:
         pivots = F.broadcast(pivots)
-    rows = large.join(text, "node").join(pivots, "g").select("g", "node", "n", "least", "text", "pivot")
-    rows = stored(rows.mapInArrow(measure, "g long, node long, n long, least long, both long, of long, outside array<long>"), tidy=False)
+    rows = large.join(text, "node").join(pivots, "g").select("g", "node", "n", "least", "text", "core", "pivot")
+    rows = stored(rows.mapInArrow(measure, "g long, node long, n long, least long, both long, both_core long, of long, outside array<long>"), tidy=False)
     discard(made)
     return rows
 
 
 def _sure_links(near: DataFrame, percent: int) -> DataFrame:
-    """Links of near nodes with those that miss least of their group's pivot among nodes of their size or less.
+    """Links of near nodes with those that miss least of their group's core among nodes of their size or less.
 
     They share what neither misses, so no text is needed where that is enough."""
-    miss = F.col("of") - F.col("both")
+    miss = F.col("of") - F.col("both_core")
     best = near.groupBy("g", "n").agg(F.min(F.struct(miss.alias("miss"), "node")).alias("z")).select("g", F.col("n").alias("m"), F.col("z.miss").alias("miss"), F.col("z.node").alias("z"))
     before = F.min("miss").over(Window.partitionBy("g").orderBy("m").rowsBetween(Window.unboundedPreceding, -1))
     best = best.withColumn("before", before).where("before is null or miss < before").select("g", "m", "miss", "z")
-    sure = near.join(best, "g").where((F.col("m") <= F.col("n")) & (F.col("node") != F.col("z")) & _enough(F.col("both") - F.col("miss"), F.col("n") + F.col("m"), percent))
+    sure = near.join(best, "g").where((F.col("m") <= F.col("n")) & (F.col("node") != F.col("z")) & _enough(F.col("both_core") - F.col("miss"), F.col("n") + F.col("m"), percent))
     return sure.select(F.col("node").alias("a"), F.col("z").alias("b")).distinct()
 
 

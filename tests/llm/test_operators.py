@@ -409,6 +409,38 @@ def test_a_small_set_in_a_group_leaves_first_tokens_of_large_ones_few(monkeypatc
     assert len(got.column("outside")[0]) == 100 - 75 + 1
 
 
+def test_a_family_leads_to_few_new_groups(spark, monkeypatch):
+    """Near copies that share their changes by parts of the family: next rounds' groups do not multiply with the parts."""
+    own = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(90):
+        t = list(base)
+        for at in own.sample(range(4, 120, 7), 3):
+            t[at] = f"v{at}"  # some sixth of the family has each change
+        rows.append((k, " ".join(t)))
+    met, opened = [], jaccard_join._open
+
+    def counted(groups, label, first):
+        if not first:
+            met.append(groups.count())
+        return opened(groups, label, first)
+
+    monkeypatch.setattr(jaccard_join, "_open", counted)
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_classes(rows))
+    assert met and sum(met) <= 10 * len(rows), met
+
+
+def test_tokens_outside_pivots_become_rows_only_where_nodes_share_them():
+    """Of the first tokens outside, those that one node of the group has alone lead to no group."""
+    cells = [pa.array([7, 7, 8]), pa.array([1, 2, 3]), pa.array([20, 20, 20]), pa.array([[11, 12], [12, 13], [11, 12]], pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(cells, names=["g", "node", "n", "outside"])
+    sent = pa.Table.from_batches(list(jaccard_join._outside(iter([batch]), 1)))
+    found = pa.Table.from_batches(list(jaccard_join._groups(iter(sent.to_batches()))))
+    assert sorted(found.column("node").to_pylist()) == [1, 2] and len(set(found.column("g").to_pylist())) == 1
+
+
 def test_lm_score_maps_embeddings_before_tokens_take_them():
     """The hidden layer is that of embeddings side by side, and gradients are those of differences."""
     w, rng = lm_score.Weights(), np.random.default_rng(3)
