@@ -1,14 +1,16 @@
 """Matching, stateful patterns, analysis, catalog, streams and the flat dialect on small literal inputs."""
 
+import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rulewright import plugins, sdk
 from rulewright.functions import cron
 from rulewright.functions.text import hmac_sha256, signature
-from rulewright.operators import analysis, catalog, matcher, stateful
+from rulewright.operators import analysis, catalog, matcher, pairs, stateful
 from rulewright.operators.matcher import Rule, match
 from rulewright.plans import ir
 from rulewright.sources import rules as source
@@ -293,3 +295,18 @@ def test_redundancies_hold_each_branch_in_one_of_the_other_rule(spark):
     assert 0 < len(wanted) < len(trees)
     assert dict(map(tuple, analysis.redundancies(analysis.constraints(spark, trees)).collect())) == wanted
     assert not analysis.redundancies(analysis.constraints(spark, trees[:1])).count()
+
+
+@pytest.mark.parametrize("side", [(3,), (1, 2)])
+def test_pairs_of_one_set_of_fields_are_not_sorted_one_by_one(monkeypatch, side):
+    """Rules of one conjunction and the same fields each: a rule's pairs are cut from the table of who meets whom as they are."""
+    own = random.Random(2)
+    rules = [(own.choice(side), k, own.choice(["", "a", "b", "c"]), own.randrange(40)) for k in own.sample(range(1000), 60)]
+    rows = [{"grp": "g", "side": s, "rule_id": k, "action": a, "branch": 0, "field": f, "txt": None, "low": float(v), "high": v + 20.0, "low_in": True, "high_in": False} for s, k, a, v in rules for f in ("p", "q")]
+    schema = pa.schema([("grp", pa.string()), ("side", pa.int32()), ("rule_id", pa.int64()), ("action", pa.string()), ("branch", pa.int32()), ("field", pa.string()), ("txt", pa.string()), ("low", pa.float64()), ("high", pa.float64()), ("low_in", pa.bool_()), ("high_in", pa.bool_())])
+    monkeypatch.setattr(pairs, "_lists", lambda *a: pytest.fail("pairs were sorted"))
+    monkeypatch.setattr(pairs, "CELL", 300)
+    got = [(x["own"], o, x["fields"]) for b in pairs.overlapping(pa.Table.from_pylist(rows, schema), False, True) for x in b.to_pylist() for o in x["others"]]
+    meet = lambda x, y: (x[2] != y[2] or x[2] == "") and abs(x[3] - y[3]) < 20
+    want = [(x[1], y[1], "p,q") for x in rules for y in rules if (x[1] < y[1] if side == (3,) else (x[0], y[0]) == (1, 2)) and meet(x, y)]
+    assert sorted(got) == sorted(want) and want
